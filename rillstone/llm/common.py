@@ -150,3 +150,87 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def in_blocks(df: DataFrame, keys: list[str], by: str, size: int) -> DataFrame:
+    """df with columns lo, hi, own: the rows of a key, split by hash of `by` into blocks of about `size` rows, once for
+    each pair of blocks (lo <= hi) that the row's own block takes part in. A key of up to `size` rows is one block.
+
+    Grouped by keys, lo and hi, every pair of rows of a key meets: in (own, own) if they share a block, else in
+    (lo, hi). So no task gets more than two blocks, however many rows a key has.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > size)
+    hot = hot.select(*keys, F.ceil(F.col("_n") / size).cast("int").alias("_blocks"))
+    rows = df.join(hot, keys, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(by), F.col("_blocks")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return rows.withColumns({"lo": F.least("own", "_other"), "hi": F.greatest("own", "_other")}).drop("_blocks", "_other")
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edges (node, root) that connect what the edges a-b connect among n nodes: at most n - 1 of them."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, root):
+            break
+        root = new
+    own = np.nonzero(root != np.arange(n))[0]
+    return np.stack([own, root[own]], axis=1)
+
+
+def banded_distance(a, b, most: int) -> int:
+    """Edit distance of two sequences if it is at most `most`, else most + 1, by bit vectors over a band of diagonals.
+
+    Bit k of a vector stands for row j - most + k of column j; the value followed is the band's lowest cell, along the
+    diagonal while it has rows to go and along the last row after that.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if m - n > most:
+        return most + 1
+    begin = 0
+    while begin < n and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < n - begin and a[n - 1 - end] == b[m - 1 - end]:
+        end += 1
+    a, b = a[begin : n - end], b[begin : m - end]
+    n, m = len(a), len(b)
+    if not n or not most:
+        return min(m, most + 1)
+    most_ = min(most, m)
+    width = 2 * most_ + 1
+    mask = (1 << width) - 1
+    where: dict = {}
+    for i, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << i
+    # rows run over b (the longer), columns over a
+    vp, vn, last = (mask >> most_) << most_, 0, most_
+    hopeless = most + n - m + most_
+    top = 1 << width - 1
+    across = top
+    for j in range(n):
+        p = where.get(a[j], 0)
+        shift = j - most_
+        x = (p >> shift if shift >= 0 else p << -shift) & mask
+        d0 = ((((x & vp) + vp) ^ vp) | x | vn) & mask
+        hp = (vn | ~(d0 | vp)) & mask
+        hn = d0 & vp
+        if j + most_ < m:
+            last += not d0 & top
+        else:
+            across >>= 1
+            last += bool(hp & across) - bool(hn & across)
+        vp = (hn | ~((d0 >> 1) | hp)) & mask
+        vn = (d0 >> 1) & hp
+        if last > hopeless:
+            return most + 1
+    return min(last, most + 1)

@@ -28,7 +28,7 @@ class Encoder(Segments):
     tiktoken makes the ids: its ranks are the file's ids, the pattern is the same, and tests hold both alike.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:

@@ -70,7 +70,7 @@ class Segments:
 class PairMerger(Segments):
     """Counts tokens of a byte-level BPE vocabulary in the tokenizers library's JSON format."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         super().__init__([t["content"] for t in spec.get("added_tokens", [])], most)
