@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, language_id, near_dedup, packing, quality, token_counts
+from . import chat, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -49,6 +49,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(_read(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -64,5 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_packing": op7_packing,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_line_dedup": op9_line_dedup,
         "op10_chat": op10_chat,
     }
