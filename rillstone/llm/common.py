@@ -234,3 +234,58 @@ def banded_distance(a, b, most: int) -> int:
         if last > hopeless:
             return most + 1
     return min(last, most + 1)
+
+
+def pairs_in_groups(rows: DataFrame, keys: list[str], columns: list[str], near) -> DataFrame:
+    """a, b: pairs of ids (a < b) that stand in one group of `keys`, in two blocks where lo < hi, and that near() keeps.
+
+    rows: as in_blocks() gives them, with a column id. Rows are sorted by group and read as a stream: one task holds a
+    batch and at most one group of two blocks. near(columns, i, j) gets the sorted rows' `columns` as arrays and two
+    arrays of places, and says which pairs to keep. Groups of two rows cost as little as the rows themselves.
+    """
+    by = [*keys, "lo", "hi"]
+    spread = rows.select(*by, "id", "own", *columns).repartition(*by).sortWithinPartitions(*by, "id")
+
+    def pairs(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        held = {c: part.column(c).to_numpy() if not pa.types.is_binary(part.schema.field(c).type) else part.column(c).to_pylist() for c in columns}
+        ids, own, lo, hi = (part.column(c).to_numpy() for c in ("id", "own", "lo", "hi"))
+        code = np.zeros(len(part), np.int64)
+        for k in by:
+            x = part.column(k).to_numpy()
+            code[1:] += x[1:] != x[:-1]
+        code = np.cumsum(code > 0)
+        i = np.arange(len(part))
+        out, step = [np.zeros((0, 2), np.int64)], 1
+        while len(i):
+            i = i[i + step < len(part)]
+            i = i[code[i + step] == code[i]]
+            ok = i[((lo[i] == hi[i]) | (own[i] != own[i + step])) & (ids[i] != ids[i + step])]
+            if len(ok):
+                ok = ok[near(held, ok, ok + step)]
+                out.append(np.stack([ids[ok], ids[ok + step]], axis=1))
+            step += 1
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = [batch.column(k)[len(batch) - 1] for k in by]
+            at = len(batch)
+            while at and all(batch.column(k)[at - 1] == v for k, v in zip(by, last, strict=True)):
+                at -= 1
+            if at:
+                yield pairs(pa.Table.from_batches([*held, batch.slice(0, at)]))
+                held = [batch.slice(at)]
+            elif held and any(held[-1].column(k)[len(held[-1]) - 1] != v for k, v in zip(by, last, strict=True)):
+                yield pairs(pa.Table.from_batches(held))
+                held = [batch]
+            else:
+                held.append(batch)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return spread.mapInArrow(run, "a long, b long").distinct()

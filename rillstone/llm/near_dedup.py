@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, banded_distance, chunks, components, cut, in_blocks, mix, prepare
+from .common import WordHashes, banded_distance, chunks, components, cut, in_blocks, mix, pairs_in_groups, prepare
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -175,7 +174,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         label = cut(label.withColumn("component", F.coalesce("component", "doc_id")))
         mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
         dealt = in_blocks(postings.join(mixed, "sketch").join(label, "doc_id"), ["sketch"], "doc_id", block)
-        pairs = dealt.groupBy("sketch", "lo", "hi").applyInPandas(lambda key, part: _possible(key, part, similarity), "a long, b long").distinct()
+        pairs = pairs_in_groups(dealt.withColumnRenamed("doc_id", "id"), ["sketch"], ["component", "n_words", "signature"], lambda held, i, j: _possible(held, i, j, similarity))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -191,23 +190,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("class_id"), "n_words")
 
 
-def _possible(key, part: pd.DataFrame, similarity: float) -> pd.DataFrame:
+def _possible(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Pairs across classes whose word counts allow the similarity: half the difference is at most the allowed edits."""
-    same_block = key[1] == key[2]
-    part = part.sort_values("doc_id")
-    ids, comp, own, words = (part[c].to_numpy() for c in ("doc_id", "component", "own", "n_words"))
-    counts = np.frombuffer(b"".join(part["signature"]), "<u2").reshape(len(part), BINS).astype(np.int32)
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(part) - 1):
-        rest = slice(i + 1, None)
-        most = np.floor((1 - similarity) * np.maximum(words[i], words[rest]) + 1e-9)
-        ok = (comp[rest] != comp[i]) & (np.abs(words[rest] - words[i]) <= most)
-        if not same_block:
-            ok &= own[rest] != own[i]
-        at = np.nonzero(ok)[0]
-        if len(at):
-            apart = np.abs(counts[i + 1 :][at] - counts[i]).sum(axis=1)
-            at = at[apart <= 2 * most[at]]
-            out_a.append(ids[i + 1 :][at])
-            out_b.append(np.full(len(at), ids[i]))
-    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+    words = held["n_words"]
+    most = np.floor((1 - similarity) * np.maximum(words[i], words[j]) + 1e-9)
+    ok = np.nonzero((held["component"][i] != held["component"][j]) & (np.abs(words[i] - words[j]) <= most))[0]
+    counts = [np.frombuffer(b"".join([held["signature"][k] for k in x[ok].tolist()]), "<u2").reshape(-1, BINS).astype(np.int32) for x in (i, j)]
+    return ok[np.abs(counts[0] - counts[1]).sum(axis=1) <= 2 * most[ok]]
