@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, token_counts
+from . import chat, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, token_counts
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -29,6 +29,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, _read(spark, sf_dir, "labels").where(~held_out()))
@@ -68,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_decontamination": op2_decontamination,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_quality": op4_quality,
         "op5_near_dedup": op5_near_dedup,
         "op6_language_id": op6_language_id,
