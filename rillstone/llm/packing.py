@@ -8,7 +8,6 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,7 +106,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, sep
                     own = data[4 * start : 4 * (start + length)]
                     row = (doc, start, len(own) // 4, zlib.crc32(own), total)
                     rows.append((*row, np.frombuffer(own, "<u4").astype(np.int32)) if keep_ids else row)
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), preserve_index=False)
+            kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * keep_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
@@ -124,10 +124,10 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, separator:
     groups = max(1, -(-docs.count() // group))
     pieces = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "doc_tokens", "ids_crc32"), F.lit(groups)))
 
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="first")
-        bins, places = first_fit_decreasing(part["length"].to_numpy(), length)
-        return part.drop(columns="packing_group").assign(sequence_id=int(key[0]) * (1 << 31) + bins, offset=places)
+    def run(key, part):
+        part = part.drop(["packing_group"]).sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        bins, places = first_fit_decreasing(part.column("length").to_numpy(), length)
+        return part.append_column("sequence_id", pa.array(key[0].as_py() * (1 << 31) + bins)).append_column("offset", pa.array(places))
 
     schema = pieces.drop("packing_group").schema.add("sequence_id", "long").add("offset", "long")
-    return pieces.groupBy("packing_group").applyInPandas(run, schema)
+    return pieces.groupBy("packing_group").applyInArrow(run, schema)
