@@ -248,7 +248,7 @@ def pairs_in_groups(rows: DataFrame, keys: list[str], columns: list[str], near)
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
         part = part.combine_chunks()
-        held = {c: part.column(c).to_numpy() if not pa.types.is_binary(part.schema.field(c).type) else part.column(c).to_pylist() for c in columns}
+        held = {c: part.column(c).to_pylist() if pa.types.is_binary(part.schema.field(c).type) else part.column(c).to_numpy() for c in columns}
         ids, own, lo, hi = (part.column(c).to_numpy() for c in ("id", "own", "lo", "hi"))
         code = np.zeros(len(part), np.int64)
         for k in by:

@@ -15,8 +15,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 12
 BLOCK = 1000
+#: Turns in which the documents of a bucket are aligned with its smallest one that they aren't known to differ from.
+STARS = 4
 #: Bins of the word-count signature whose difference bounds the edit distance from below.
-BINS = 64
+BINS = 512
 
 _U = np.uint64
 
@@ -90,7 +92,7 @@ def describe(docs: DataFrame) -> DataFrame:
             sums = np.concatenate((np.zeros((2, 1), _U), np.cumsum(np.stack(h), axis=1, dtype=_U)), axis=1)
             h1, h2 = (sums[:, starts[1:]] - sums[:, starts[:-1]]).astype(np.int64)
             bins = np.repeat(np.arange(len(texts)), np.diff(starts)) * BINS + (words % _U(BINS)).astype(np.int64)
-            counts = np.minimum(np.bincount(bins, minlength=len(texts) * BINS), 65535).astype("<u2").reshape(len(texts), BINS)
+            counts = np.minimum(np.bincount(bins, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(len(texts), BINS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([c.tobytes() for c in counts], pa.binary())],
                 names=["doc_id", "n_words", "h1", "h2", "sketches", "signature"],
@@ -104,11 +106,11 @@ def _allowed(longer: int, similarity: float) -> int:
     return math.floor((1 - similarity) * longer + 1e-9)
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of (a, b) whose texts' word sequences are at least `similarity` alike: 1 - edits / words of the longer.
+def align_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, reach: int = 1) -> DataFrame:
+    """a, b, edits, alike: alike if the texts' word sequences are at least `similarity` alike, 1 - edits / words of the
+    longer. edits is exact for these, otherwise a lower bound: bands are `reach` times as wide as the allowed edits.
 
-    docs: doc_id and text, a row per id. The alignment runs in a band as wide as the allowed edits. Both joins are by
-    document, so AQE can split a document that stands in many pairs.
+    docs: doc_id and text, a row per id. Both joins are by document, so AQE can split one that stands in many pairs.
     """
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -128,28 +130,27 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARI
 
         for batch in batches:
             a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
-            good = []
+            edits, alike = [], []
             for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
                 u, v = of(x, tx), of(y, ty)
                 most = _allowed(max(len(u), len(v)), similarity)
-                ok = abs(len(u) - len(v)) <= most
-                if ok:
-                    count = np.bincount((u % _U(4096)).astype(np.int64), minlength=4096) - np.bincount((v % _U(4096)).astype(np.int64), minlength=4096)
-                    ok = max(count[count > 0].sum(), -count[count < 0].sum()) <= most and banded_distance(u.tolist(), v.tolist(), most) <= most
-                good.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+                count = np.bincount((u % _U(4096)).astype(np.int64), minlength=4096) - np.bincount((v % _U(4096)).astype(np.int64), minlength=4096)
+                least = int(max(count[count > 0].sum(), -count[count < 0].sum()))
+                edits.append(least if least > reach * most else banded_distance(u.tolist(), v.tolist(), reach * most))
+                alike.append(edits[-1] <= most)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(edits, pa.int64()), pa.array(alike, pa.bool_())], names=["a", "b", "edits", "alike"])
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, edits long, alike boolean")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, n_words for every row of docs: class_id is the smallest doc_id reachable by verified links.
 
     Words are compared without case and outer punctuation. Documents of equal word sequences are one class from the
-    start. Others are candidates if they share a sketch. First each takes the alignment with the smallest doc_id it
-    shares most sketches with; then, in each bucket of a sketch that still holds several classes, all pairs across
-    classes meet in blocks, those that word counts can't rule out are aligned, and this repeats until nothing new is
-    linked. So a link is lost only where no sketch is shared; no bucket is capped.
+    start. Others are candidates if they share a sketch. In a few turns each is aligned with the smallest doc_id of a bucket
+    (that of most of its buckets), and those that aren't alike go on to the next smallest; then, in each bucket of a sketch that still holds several classes, all pairs across
+    classes meet in blocks, and those are aligned that neither word counts nor the triangle inequality (over the edits to
+    a document that both were aligned with at first) can rule out; this repeats until nothing new is linked. So a link is lost only where no sketch is shared; no bucket is capped.
 
     Null, empty and wordless documents are their own class, and so are documents of fewer than five words but for equal
     ones. Rows with a null doc_id get a null class. Rows of a repeated doc_id with different texts are compared by the
@@ -160,30 +161,43 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     classes = known.where("n_words > 0 and doc_id is not null").groupBy("h1", "h2", "n_words").agg(F.min(F.struct("doc_id", "sketches", "signature")).alias("r"))
     classes = cut(classes.select("h1", "h2", "n_words", "r.*"))
     postings = cut(classes.select("doc_id", F.explode("sketches").alias("sketch")).distinct())
-    low = postings.groupBy("sketch").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("sketch", "b")
-    edges = postings.join(low, "sketch").where("doc_id > b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
-    edges = edges.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(classes.where("size(sketches) > 0").select("doc_id", "n_words", "h1", "h2"), "doc_id", "left_semi")
-    links = cut(verify_pairs(cut(edges), texts, similarity))
-    tried = None
+    rest, tested, links = postings, None, None
+    for turn in range(STARS):
+        low = rest.groupBy("sketch").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("sketch", "b")
+        starred = cut(rest.join(low, "sketch").where("doc_id > b"))
+        edges = starred.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
+        edges = edges.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+        made = cut(align_pairs(cut(edges), texts, similarity, reach=3).withColumn("turn", F.lit(turn)))
+        tested = made if tested is None else tested.unionByName(made)
+        new = made.where("alike").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        if turn == STARS - 1 or not made.where("not alike").take(1):
+            break
+        groups = components(links)
+        left = starred.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("x")), "doc_id", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+        rest = cut(left.where(F.coalesce("x", "doc_id") != F.coalesce("y", "b")).select("doc_id", "sketch"))
+    best = F.max(F.struct("alike", (-F.col("edits")).alias("less"), "b")).alias("m")
+    known_edits = tested.groupBy(F.col("a").alias("doc_id")).agg(best).select("doc_id", F.col("m.b").alias("other"), (-F.col("m.less")).alias("edits"), "m.alike")
+    tried = tested.select("a", "b")
     while True:
         groups = components(links) if links.take(1) else None
-        label = classes.select("doc_id", "n_words", "signature")
+        label = classes.select("doc_id", "n_words", "signature").join(known_edits, "doc_id", "left")
+        label = label.withColumns({"other": F.coalesce("other", "doc_id"), "edits": F.coalesce("edits", F.lit(0)), "alike": F.coalesce("alike", F.lit(True))})
         label = label.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left") if groups else label.withColumn("component", F.lit(None).cast("long"))
         label = cut(label.withColumn("component", F.coalesce("component", "doc_id")))
         mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
         dealt = in_blocks(postings.join(mixed, "sketch").join(label, "doc_id"), ["sketch"], "doc_id", block)
-        pairs = pairs_in_groups(dealt.withColumnRenamed("doc_id", "id"), ["sketch"], ["component", "n_words", "signature"], lambda held, i, j: _possible(held, i, j, similarity))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = pairs_in_groups(dealt.withColumnRenamed("doc_id", "id"), ["sketch"], ["component", "n_words", "signature", "other", "edits", "alike"], lambda held, i, j: _possible(held, i, j, similarity))
+        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
         if not pairs.take(1):
             break
-        new = cut(verify_pairs(pairs, texts, similarity))
+        new = cut(align_pairs(pairs, texts, similarity).where("alike").select("a", "b"))
         if not new.take(1):
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = tried.unionByName(pairs)
         links = links.unionByName(new)
     whole = classes.select("h1", "h2", "n_words", "doc_id").withColumnRenamed("doc_id", "rep").join(label.select(F.col("doc_id").alias("rep"), "component"), "rep")
     out = known.select("doc_id", "n_words", "h1", "h2").join(whole.drop("rep"), ["h1", "h2", "n_words"], "left")
@@ -191,9 +205,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
 
 
 def _possible(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Pairs across classes whose word counts allow the similarity: half the difference is at most the allowed edits."""
+    """Pairs across classes that may have the allowed edits: half the difference of word counts is a lower bound, and so
+    is the difference of their edits to one third document, if those of the nearer one are exact."""
     words = held["n_words"]
     most = np.floor((1 - similarity) * np.maximum(words[i], words[j]) + 1e-9)
     ok = np.nonzero((held["component"][i] != held["component"][j]) & (np.abs(words[i] - words[j]) <= most))[0]
-    counts = [np.frombuffer(b"".join([held["signature"][k] for k in x[ok].tolist()]), "<u2").reshape(-1, BINS).astype(np.int32) for x in (i, j)]
-    return ok[np.abs(counts[0] - counts[1]).sum(axis=1) <= 2 * most[ok]]
+    a, b = i[ok], j[ok]
+    more = held["edits"][a] - held["edits"][b]
+    far = (held["other"][a] == held["other"][b]) & (held["alike"][b] & (more > most[ok]) | held["alike"][a] & (-more > most[ok]))
+    ok = ok[~far]
+    if "counts" not in held:
+        held["counts"] = np.frombuffer(b"".join(held["signature"]), np.uint8).reshape(-1, BINS).astype(np.int16)
+    apart = [np.abs(held["counts"][i[part]] - held["counts"][j[part]]).sum(axis=1) for part in np.array_split(ok, len(ok) // 4096 + 1)]
+    return ok[np.concatenate(apart) <= 2 * most[ok]]
