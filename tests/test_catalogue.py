@@ -16,7 +16,7 @@ def duck():
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
-    show = lambda v: "" if v is None or v is pd.NaT or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    show = lambda v: "" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(show, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False, name=None))
 
 
