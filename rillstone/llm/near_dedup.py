@@ -14,11 +14,13 @@ from .common import WordHashes, banded_distance, chunks, components, cut, in_blo
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 12
-BLOCK = 1000
+BLOCK = 400
 #: Turns in which the documents of a bucket are aligned with its smallest one that they aren't known to differ from.
 STARS = 4
 #: Bins of the word-count signature whose difference bounds the edit distance from below.
 BINS = 512
+#: Words whose hashes a task keeps while it aligns a block.
+WORDS_HELD = 10_000_000
 
 _U = np.uint64
 
@@ -149,8 +151,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     Words are compared without case and outer punctuation. Documents of equal word sequences are one class from the
     start. Others are candidates if they share a sketch. In a few turns each is aligned with the smallest doc_id of a bucket
     (that of most of its buckets), and those that aren't alike go on to the next smallest; then, in each bucket of a sketch that still holds several classes, all pairs across
-    classes meet in blocks, and those are aligned that neither word counts nor the triangle inequality (over the edits to
-    a document that both were aligned with at first) can rule out; this repeats until nothing new is linked. So a link is lost only where no sketch is shared; no bucket is capped.
+    classes meet in blocks with their texts, and those are aligned there, once in one bucket of those they share, that
+    neither word counts nor the triangle inequality (over the edits to a document that both were aligned with at first)
+    can rule out. Only links leave a block, at most one a row. So a link is lost only where no sketch is shared; no bucket is capped.
 
     Null, empty and wordless documents are their own class, and so are documents of fewer than five words but for equal
     ones. Rows with a null doc_id get a null class. Rows of a repeated doc_id with different texts are compared by the
@@ -180,30 +183,68 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         rest = cut(left.where(F.coalesce("x", "doc_id") != F.coalesce("y", "b")).select("doc_id", "sketch"))
     best = F.max(F.struct("alike", (-F.col("edits")).alias("less"), "b")).alias("m")
     known_edits = tested.groupBy(F.col("a").alias("doc_id")).agg(best).select("doc_id", F.col("m.b").alias("other"), (-F.col("m.less")).alias("edits"), "m.alike")
-    tried = tested.select("a", "b")
-    while True:
-        groups = components(links) if links.take(1) else None
-        label = classes.select("doc_id", "n_words", "signature").join(known_edits, "doc_id", "left")
-        label = label.withColumns({"other": F.coalesce("other", "doc_id"), "edits": F.coalesce("edits", F.lit(0)), "alike": F.coalesce("alike", F.lit(True))})
-        label = label.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left") if groups else label.withColumn("component", F.lit(None).cast("long"))
-        label = cut(label.withColumn("component", F.coalesce("component", "doc_id")))
-        mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
-        dealt = in_blocks(postings.join(mixed, "sketch").join(label, "doc_id"), ["sketch"], "doc_id", block)
-        pairs = pairs_in_groups(dealt.withColumnRenamed("doc_id", "id"), ["sketch"], ["component", "n_words", "signature", "other", "edits", "alike"], lambda held, i, j: _possible(held, i, j, similarity))
-        done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.join(done, ["a", "b"], "left_anti"))
-        if not pairs.take(1):
-            break
-        new = cut(align_pairs(pairs, texts, similarity).where("alike").select("a", "b"))
-        if not new.take(1):
-            break
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(new)
+    label = classes.select("doc_id", "n_words", "signature", "sketches").join(known_edits, "doc_id", "left")
+    label = label.withColumns({"other": F.coalesce("other", "doc_id"), "edits": F.coalesce("edits", F.lit(0)), "alike": F.coalesce("alike", F.lit(True))})
+    label = cut(_with_component(label, links))
+    mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
+    dealt = in_blocks(cut(postings.join(mixed, "sketch").join(label, "doc_id")), ["sketch"], "doc_id", block).join(texts.select("doc_id", "text"), "doc_id")
+    dealt = dealt.withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
+    columns = ["doc_id", "bucket", "component", "n_words", "signature", "sketches", "other", "edits", "alike", "text"]
+    links = links.unionByName(cut(pairs_in_groups(dealt, ["sketch"], columns, lambda held, i, j: _alike(held, i, j, similarity))))
+    label = _with_component(classes.select("doc_id"), links)
     whole = classes.select("h1", "h2", "n_words", "doc_id").withColumnRenamed("doc_id", "rep").join(label.select(F.col("doc_id").alias("rep"), "component"), "rep")
     out = known.select("doc_id", "n_words", "h1", "h2").join(whole.drop("rep"), ["h1", "h2", "n_words"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("class_id"), "n_words")
 
 
+def _with_component(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label with a column component: the smallest doc_id that links reach, its own without links."""
+    groups = components(links).withColumnRenamed("id", "doc_id")
+    return label.join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _turn(held, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether this is the bucket to compare a pair in: of those that both stand in, one chosen by hash of the pair, so
+    that buckets of the same documents share the work."""
+    if "all" not in held:
+        held["all"], held["id"] = np.stack(held["sketches"]).astype(_U), held["doc_id"].astype(_U)
+        held["at"] = held["bucket"].astype(_U)
+    s, t = held["all"][i], held["all"][j]
+    rank = np.where(s == t, mix(s ^ mix(held["id"][i] + held["id"][j])[:, None]), _U(0xFFFFFFFFFFFFFFFF))
+    return s[np.arange(len(s)), rank.argmin(axis=1)] == held["at"][i]
+
+
+def _alike(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs that are alike by banded alignment, without those that links found before connect. Word hashes of at most
+    WORDS_HELD words, or one document's, are kept."""
+    ok = _possible(held, i, j, similarity)
+    ok = ok[_turn(held, i[ok], j[ok])]
+    if "root" not in held:
+        held |= {"root": np.unique(held["component"], return_inverse=True)[1], "hashes": WordHashes(), "words": {}, "size": 0}
+    root, words, found = held["root"], held["words"], []
+
+    def of(r):
+        if r not in words:
+            if held["size"] > WORDS_HELD:
+                words.clear()
+                held["size"] = 0
+            w = held["hashes"].of((held["text"][r] or "").split())
+            words[r] = w, np.bincount((w % _U(4096)).astype(np.int64), minlength=4096).astype(np.int32)
+            held["size"] += len(w) + 2048
+        return words[r]
+
+    for k in ok.tolist():
+        x, y = i[k], j[k]
+        if root[x] == root[y]:
+            continue
+        (u, count), (v, other) = of(x), of(y)
+        most = _allowed(max(len(u), len(v)), similarity)
+        if (np.abs(count - other).sum() + abs(len(u) - len(v))) // 2 <= most and banded_distance(u.tolist(), v.tolist(), most) <= most:
+            found.append(k)
+            root[root == root[y]] = root[x]
+    return np.array(found, np.int64)
+
+
 def _possible(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     """Pairs across classes that may have the allowed edits: half the difference of word counts is a lower bound, and so
     is the difference of their edits to one third document, if those of the nearer one are exact."""
