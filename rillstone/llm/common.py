@@ -74,15 +74,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a graph: (id, component), component the smallest id; ids without an edge aren't listed.
 
     Alternating large-star and small-star steps: each is a minimum per node with partial aggregation and a join that
-    AQE may split where one node has many edges. Rounds grow with the logarithm of the size; each is written to the
-    shared folder, and nothing but two numbers per round comes to the driver.
+    AQE may split where one node has many edges. Rounds grow with the logarithm of the size and end when the edges are
+    stars, none for edges that are so from the start; each is written to the shared folder, and at most one row per
+    round comes to the driver.
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e, path = table(e)
-    print_of = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-    last = print_of(e)
-    while last[0]:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -94,14 +93,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         )
         e, new = table(e)
         forget(spark, path)
-        path, now = new, print_of(e)
-        if now == last:
-            break
-        last = now
+        path = new
     members = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return members.unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether edges (u, v), u > v, are stars around their v: each u has one edge, and no v is a u."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("end"))
+    seen = ends.groupBy("end.id").agg(F.sum("end.up").alias("ups"), F.min("end.up").alias("down"))
+    return not seen.where("ups > 1 or ups = 1 and down = 0").select("ups").take(1)
+
+
 def chunks(it: Iterable[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of batches with a column `text`, each of about `limit` characters or one row; null texts become ''."""
     for batch in it:

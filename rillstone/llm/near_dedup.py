@@ -178,8 +178,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         links = new if links is None else links.unionByName(new)
         if turn == STARS - 1 or not made.where("not alike").take(1):
             break
-        groups = components(links)
-        left = starred.join(groups.select(F.col("id").alias("doc_id"), F.col("component").alias("x")), "doc_id", "left").join(groups.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left")
+        parents = _parents(links)
+        left = starred.join(parents.select(F.col("a").alias("doc_id"), F.col("b").alias("x")), "doc_id", "left").join(parents.select(F.col("a").alias("b"), F.col("b").alias("y")), "b", "left")
         rest = cut(left.where(F.coalesce("x", "doc_id") != F.coalesce("y", "b")).select("doc_id", "sketch"))
     best = F.max(F.struct("alike", (-F.col("edits")).alias("less"), "b")).alias("m")
     known_edits = tested.groupBy(F.col("a").alias("doc_id")).agg(best).select("doc_id", F.col("m.b").alias("other"), (-F.col("m.less")).alias("edits"), "m.alike")
@@ -190,13 +190,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     dealt = in_blocks(cut(postings.join(mixed, "sketch").join(label, "doc_id")), ["sketch"], "doc_id", block).join(texts.select("doc_id", "text"), "doc_id")
     dealt = dealt.withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
     columns = ["doc_id", "bucket", "component", "n_words", "signature", "sketches", "other", "edits", "alike", "text"]
-    links = links.unionByName(cut(pairs_in_groups(dealt, ["sketch"], columns, lambda held, i, j: _alike(held, i, j, similarity))))
-    label = _with_component(classes.select("doc_id"), links)
+    across = cut(pairs_in_groups(dealt, ["sketch"], columns, lambda held, i, j: _alike(held, i, j, similarity)))
+    if across.take(1):
+        # the stars' components are the nodes of what is left
+        of = label.select("doc_id", "component")
+        ends = across.join(of.withColumnsRenamed({"doc_id": "a", "component": "x"}), "a").join(of.withColumnsRenamed({"doc_id": "b", "component": "y"}), "b")
+        joined = components(ends.select("x", "y"), "x", "y").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+        label = of.join(joined, "component", "left").select("doc_id", F.coalesce("whole", "component").alias("component"))
     whole = classes.select("h1", "h2", "n_words", "doc_id").withColumnRenamed("doc_id", "rep").join(label.select(F.col("doc_id").alias("rep"), "component"), "rep")
     out = known.select("doc_id", "n_words", "h1", "h2").join(whole.drop("rep"), ["h1", "h2", "n_words"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("class_id"), "n_words")
 
 
+def _parents(links: DataFrame) -> DataFrame:
+    """a, b: the smallest doc_id that a links to, or the smallest that this one links to. Never wrong about documents
+    being of one class, but longer chains aren't followed."""
+    low = links.groupBy("a").agg(F.min("b").alias("b"))
+    return low.join(low.select(F.col("a").alias("b"), F.col("b").alias("top")), "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+
+
 def _with_component(label: DataFrame, links: DataFrame) -> DataFrame:
     """label with a column component: the smallest doc_id that links reach, its own without links."""
     groups = components(links).withColumnRenamed("id", "doc_id")
