@@ -14,6 +14,9 @@ from .common import components, cut, forest, in_blocks, prepare
 
 #: Reference points grow with the square root of the vectors, up to a number that bounds the broadcast.
 MOST_PIVOTS = 4096
+#: They are chosen among so many sampled vectors for each, up to MOST_SAMPLED.
+SAMPLED = 4
+MOST_SAMPLED = 8192
 NEAREST = 10
 MIN_SHARED = 2
 BLOCK = 1500
@@ -30,6 +33,22 @@ def unit_rows(vectors: list, width: int) -> np.ndarray:
     return out
 
 
+def spread(units: np.ndarray, count: int, least: int, radius: float) -> np.ndarray:
+    """Places of at most `count` rows, farthest first: each next one is the least like those before by cosine. It ends
+    where all others are within `radius` of one, but not before `least`. So a dense group has few, however large it is.
+    """
+    chosen = [0] if len(units) else []
+    near = units @ units[0] if chosen else np.zeros(0)
+    while len(chosen) < min(count, len(units)):
+        near[chosen[-1]] = np.inf
+        at = int(near.argmin())
+        if near[at] >= radius and len(chosen) >= least:
+            break
+        chosen.append(at)
+        near = np.maximum(near, units @ units[at])
+    return np.array(chosen, np.int64)
+
+
 def permutations(units: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """Each row's nearest reference points by cosine, in order; ties go to the smaller number."""
     near = units @ pivots.T
@@ -50,7 +69,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, nearest: int =
     are verified by cosine in double precision, in the list of the smallest point they share, so each pair counts once.
     Long lists are dealt out in pairs of blocks: no pair of a list is dropped. A task returns link counts and a
     spanning forest of its links, not the links. The index is approximate by its retrieval only; recall is measured
-    in the tests. Reference points are a sample by hash of the vectors, at most 4096.
+    in the tests. Reference points are spread out, farthest first, over a sample by hash of the vectors; at most 4096.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Rows with a null vec_id have no links and are not kept. Repeated rows are vectors of their own.
@@ -66,8 +85,11 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, nearest: int =
     if not n:
         return alone(rows)
     count = max(16, min(MOST_PIVOTS, math.ceil(2 * math.sqrt(n))))
-    chosen = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(count).toPandas()["embedding"].tolist()
-    pivots = spark.sparkContext.broadcast(unit_rows(chosen, width))
+    sample = classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(min(SAMPLED * count, MOST_SAMPLED)).toPandas()["embedding"].tolist()
+    sampled = unit_rows(sample, width)
+    # any two rows share min_shared of so many points
+    least = 2 * nearest - min_shared
+    pivots = spark.sparkContext.broadcast(sampled[spread(sampled, max(count, least), least, threshold)])
 
     def describe(batches):
         for batch in batches:
