@@ -1,6 +1,8 @@
+import random
+
 import numpy as np
 
-from rillstone.llm import embedding_dedup
+from rillstone.llm import common, embedding_dedup, near_dedup
 
 
 def test_embeddings_of_a_large_near_group(spark):
@@ -27,3 +29,30 @@ def test_spread_points():
     assert len(set(at.tolist())) == len(at) == 90 and (at < 300).sum() == 1
     assert len(embedding_dedup.spread(u[:300], 90, 18, 0.95)) == 18
     assert len(embedding_dedup.spread(u[:5], 90, 18, 0.95)) == 5 and len(embedding_dedup.spread(u[:0], 90, 18, 0.95)) == 0
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    texts = []
+    for size in (5, 10, 20, 45, 60, 120, 240):
+        for similarity in (0.8, 0.85, 0.9):
+            for _ in range(25):
+                a = [word() for _ in range(size)]
+                b = list(a)
+                for k in rng.sample(range(size), int((1 - similarity) * size + 1e-9)):
+                    b[k] = word()
+                assert common.banded_distance(a, b, size) <= 0.2 * size + 1e-9
+                texts += [" ".join(a), " ".join(b)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    met = [got[i] == got[i + 1] == i for i in range(0, len(texts), 2)]
+    assert sum(met) >= 0.98 * len(met)
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
+def test_near_duplicates_of_short_texts(spark):
+    texts = ["ka lo mi na", "ka lo mi na pu", "ka lo xx na pu", "ka lo mi", "ka lo mi zu", "qu ro si", "ro qu si tu"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
