@@ -60,7 +60,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(_read(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(_read(spark, sf_dir, "documents"), share=line_dedup.SHARE)
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

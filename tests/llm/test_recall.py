@@ -1,8 +1,9 @@
+import collections
 import random
 
 import numpy as np
 
-from rillstone.llm import common, embedding_dedup, near_dedup
+from rillstone.llm import common, embedding_dedup, line_dedup, near_dedup, queries
 
 
 def test_embeddings_of_a_large_near_group(spark):
@@ -56,3 +57,45 @@ def test_near_duplicates_of_short_texts(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(rows).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
+def test_lines_within_a_share_by_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    char = lambda: rng.choice("abcdefghijklmnopqrst ")
+    lines = []
+    for size in (20, 25, 39, 40, 59, 60, 61, 80, 130, 200, 400, 1400):
+        for _ in range(15):
+            a = "x" + "".join(char() for _ in range(size - 2)) + "y"
+            places = sorted(rng.sample(range(1, size - 1), size // 20), reverse=True)
+            b = list(a)
+            for k in places:
+                b[k : k + 1] = rng.choice([[], [char(), b[k]], ["Z"]])
+            at = rng.randrange(size - size // 20)
+            lines += [a, "".join(b), a[:at] + "Q" * (size // 20) + a[at + size // 20 :], a[: size // 2] + "W" * (size // 10 + 1) + a[size // 2 :]]
+    count = collections.Counter(lines)
+    want = 0
+    for x in count:
+        for y in count:
+            most = max(len(x), len(y)) // 20
+            if x != y and abs(len(x) - len(y)) <= most and common.banded_distance(x, y, most) <= most:
+                want += count[x] * count[y]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op9_line_dedup(spark, str(tmp_path)).selectExpr("sum(n_links)", "count(*)").first()
+    assert found[1] == len(lines) and want > 700
+    links = found[0] - sum(n * (n - 1) for n in count.values())
+    assert 0.99 * want <= links <= want
+
+
+def test_sketch_keys_meet():
+    rng = random.Random(2)
+    met = []
+    for size in (60, 100, 200, 800):
+        for _ in range(250):
+            a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+            b = list(a)
+            for k in sorted(rng.sample(range(size), size // 20), reverse=True):
+                b[k : k + 1] = rng.choice([[], ["#", b[k]], ["#"]])
+            row, keys = line_dedup.sketch_keys([a, "".join(b)][:: rng.choice([1, -1])], 0.05)
+            met.append(bool(set(keys[row == 0].tolist()) & set(keys[row == 1].tolist())))
+    assert sum(met) >= 0.985 * len(met), sum(met)
