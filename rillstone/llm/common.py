@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -119,33 +118,59 @@ def chunks(it: Iterable[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[tup
             yield batch.slice(begin), texts[begin:]
 
 
-class WordHashes:
-    """64-bit hashes of words without case and outer punctuation, kept for words seen before in a bounded cache."""
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point its kind (1 white space, 2 letter or digit) and a 64-bit number. None beyond those tried is a
+    letter."""
+    kind = np.zeros(0x110000, np.uint8)
+    kind[:0x40000] = [1 if c.isspace() else 2 if c.isalnum() else 0 for c in map(chr, range(0x40000))]
+    return kind, mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(_ODD))
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.kept = most, {}
 
-    def of(self, words: list[str]) -> np.ndarray:
-        kept = self.kept
-        got = list(map(kept.get, words))
-        if None in got:
-            if len(kept) > self.most:
-                kept.clear()
-            for i, x in enumerate(got):
-                if x is None:
-                    w = words[i]
-                    got[i] = h = word_hash(w)
-                    if len(w) <= 64:
-                        kept[w] = h
-        return np.array(got, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
 
 
-_OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, _ODD, np.uint64), np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_hash(word: str) -> int:
-    core = (word if word.isalnum() else _OUTER.sub("", word) or word).lower().encode("utf-8", "surrogatepass")
-    return zlib.crc32(core) | zlib.crc32(core, 0x9E3779B9) << 32
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, n of each at least."""
+    return _powers(1 << max(16, (n - 1).bit_length()))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words one after another, and where each text's begin, and the end.
+
+    A word is what stands between white space, without case and without what isn't a letter or digit at its ends (with
+    them, if it has no letter or digit).
+    """
+    lower = [t.lower() for t in texts]
+    points = np.frombuffer("\n".join(["", *lower, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds, numbers = _characters()
+    kind = kinds[points]
+    within = kind != 1
+    edges = np.flatnonzero(within[1:] != within[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    first, last = begin.copy(), end.copy()
+    letters = np.flatnonzero(kind == 2)
+    for ends, at in ((first, begin), (last, end)):
+        odd = np.flatnonzero(kind[at if at is begin else at - 1] != 2)
+        near = np.searchsorted(letters, at[odd]) - (at is end)
+        near = np.append(letters, -1)[np.clip(near, -1, len(letters))]
+        # the nearest letter of the word, if it has one
+        has = (near >= begin[odd]) & (near < end[odd])
+        ends[odd[has]] = near[has] + (at is end)
+    up, down = powers(len(points))
+    value = numbers[points]
+    value *= up[: len(value)]
+    sums = np.cumsum(value, dtype=np.uint64)
+    hashes = mix((sums[last - 1] - sums[first - 1]) * down[first])
+    places = np.cumsum([1, *(len(t) + 1 for t in lower)])
+    return hashes, np.searchsorted(begin, places)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

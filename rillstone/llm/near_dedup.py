@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, banded_distance, chunks, components, cut, in_blocks, mix, pairs_in_groups, prepare
+from .common import banded_distance, chunks, components, cut, forget, in_blocks, mix, pairs_in_groups, prepare, table, word_hashes
 
 #: Words of a run: SHINGLE in texts of at least LONG words, one in texts of LEAST to SHORT words. With 0.8 x SHORT =
 #: LONG two texts that are alike enough always have sketches of one kind; below LEAST words only equal texts are alike.
@@ -28,6 +28,26 @@ WORDS_HELD = 10_000_000
 _U = np.uint64
 
 
+def labelled(kmers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The k-mers' hashes mixed with their occurrence, the number of equal ones before them in the same row."""
+    key = mix(kmers ^ mix(rows.astype(_U) + _U(1)))
+    ordered = np.sort(key)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    out = mix(kmers)
+    if len(twice):
+        # few k-mers occur twice: only those whose low bits are those of one that does are sorted with their places
+        seen = np.zeros(1 << 16, bool)
+        seen[(twice & _U(0xFFFF)).astype(np.int64)] = True
+        at = np.nonzero(seen[(key & _U(0xFFFF)).astype(np.int64)])[0]
+        at = at[np.argsort(key[at], kind="stable")]
+        new = np.ones(len(at), bool)
+        new[1:] = key[at[1:]] != key[at[:-1]]
+        number = np.arange(len(at))
+        occurrence = number - np.maximum.accumulate(np.where(new, number, 0))
+        out[at] = mix(kmers[at] + occurrence.astype(_U) * _U(0xD1B54A32D192ED03))
+    return out
+
+
 def order_minhash(words: np.ndarray, starts: np.ndarray, use: np.ndarray, shingle: int = SHINGLE, sketches: int = SKETCHES) -> np.ndarray:
     """Each document's sketches: of its k-mers of words, labelled with their occurrence, the two with the smallest
     hashes under each of `sketches` orders, joined in the order in which the text has them.
@@ -36,44 +56,35 @@ def order_minhash(words: np.ndarray, starts: np.ndarray, use: np.ndarray, shingl
     in `use` or has fewer than `shingle` words has zeros for sketches; one k-mer gives sketches of that alone.
     """
     n = len(starts) - 1
-    g = np.zeros(max(0, len(words) - shingle + 1), _U)
+    found = np.zeros((n, sketches), _U)
+    own = np.where(use, np.maximum(np.diff(starts) - shingle + 1, 0), 0)
+    full = np.nonzero(own)[0]
+    if not len(full):
+        return found
+    g = np.zeros(len(words) - shingle + 1, _U)
     for k in range(shingle):
         g = mix((g ^ words[k : len(words) - shingle + 1 + k]) * _U(0x9E3779B97F4A7C15))
-    own = np.where(use, np.maximum(np.diff(starts) - shingle + 1, 0), 0)
     rows = np.repeat(np.arange(n), own)
     ends = np.concatenate(([0], np.cumsum(own)))
-    g = g[np.arange(ends[-1]) - ends[rows] + starts[rows]]
-    key = mix(g ^ mix(rows.astype(_U) + _U(1)))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    occurrence = np.empty(len(key), _U)
-    occurrence[order] = (np.arange(len(key)) - first).astype(_U)
-    x = mix(g + occurrence * _U(0xD1B54A32D192ED03))
-    full = np.nonzero(own)[0]
-    at = ends[:-1][full]
-    back = np.repeat(np.arange(len(full)), own[full])
-    out = np.zeros((len(full), sketches), _U)
-    place = np.arange(len(x))
-    for s in range(sketches if len(full) else 0):
+    place = np.arange(ends[-1]) - ends[rows]
+    x = labelled(g[place + starts[rows]], rows)
+    # a hash's low bits make way for its place, so that the minimum tells where it stands
+    low = _U((1 << int(own.max()).bit_length()) - 1)
+    place, at, one = place.astype(_U), ends[:-1][full], own[full] == 1
+    y = np.empty_like(x)
+    for s in range(sketches):
         odd = mix(np.array([s + 1], _U))[0] | _U(1)
-        y = (x ^ (x >> _U(29))) * odd
-        y ^= y >> _U(32)
+        np.multiply(x, odd, out=y)
+        y &= ~low
+        y |= place
         pair = []
         for _ in range(2):
-            low = np.minimum.reduceat(y, at)
-            hit = np.nonzero(y == low[back])[0]
-            spot = np.full(len(full), len(x))
-            np.minimum.at(spot, back[hit], place[hit])
+            spot = (np.minimum.reduceat(y, at) & low).astype(np.int64) + at
             y[spot] = _U(0xFFFFFFFFFFFFFFFF)
             pair.append(spot)
-        one = own[full] == 1
         a, b = np.minimum(*pair), np.where(one, pair[0], np.maximum(*pair))
-        out[:, s] = mix(mix(g[a] * odd) ^ g[b]) ^ _U(s)
-    found = np.zeros((n, sketches), _U)
-    found[full] = out
+        a = np.where(one, pair[0], a)
+        found[full, s] = mix(mix(x[a] * odd) ^ x[b]) ^ _U(s)
     return found
 
 
@@ -85,19 +96,13 @@ def sketches_of(words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [row if size >= LEAST else row[:0] for row, size in zip(both, sizes.tolist(), strict=True)]
 
 
-def _words(hashes: WordHashes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    split = [t.split() for t in texts]
-    starts = np.concatenate(([0], np.cumsum([len(w) for w in split]))).astype(np.int64)
-    return hashes.of([w for ws in split for w in ws]), starts
-
-
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, h1, h2 (128 bits of the word sequence), sketches, signature (BINS counts) of each document."""
+    """doc_id, check (64 bits of the text), n_words, h1, h2 (128 bits of the word sequence), sketches, signature (BINS
+    counts) of each document."""
 
     def run(batches):
-        hashes = WordHashes()
-        for batch, texts in chunks(batches):
-            words, starts = _words(hashes, texts)
+        for batch, texts in chunks(batches, 1_000_000):
+            words, starts = word_hashes(texts)
             found = sketches_of(words, starts)
             place = np.arange(len(words)) - np.repeat(starts[:-1], np.diff(starts))
             h = [mix(words + mix(place.astype(_U) + _U(c))) for c in (1, 1 << 40)]
@@ -106,11 +111,15 @@ def describe(docs: DataFrame) -> DataFrame:
             bins = np.repeat(np.arange(len(texts)), np.diff(starts)) * BINS + (words % _U(BINS)).astype(np.int64)
             counts = np.minimum(np.bincount(bins, minlength=len(texts) * BINS), 255).astype(np.uint8).reshape(len(texts), BINS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([c.tobytes() for c in counts], pa.binary())],
-                names=["doc_id", "n_words", "h1", "h2", "sketches", "signature"],
+                [batch.column("doc_id"), batch.column("check"), pa.array(np.diff(starts)), pa.array(h1), pa.array(h2), pa.array([f.astype(np.int64) for f in found], pa.list_(pa.int64())), pa.array([c.tobytes() for c in counts], pa.binary())],
+                names=["doc_id", "check", "n_words", "h1", "h2", "sketches", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, h1 long, h2 long, sketches array<long>, signature binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, check long, n_words long, h1 long, h2 long, sketches array<long>, signature binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("check"), "text")
 
 
 def _allowed(longer: int, similarity: float) -> int:
@@ -118,37 +127,74 @@ def _allowed(longer: int, similarity: float) -> int:
     return math.floor((1 - similarity) * longer + 1e-9)
 
 
-def align_pairs(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, reach: int = 1) -> DataFrame:
+def _bound(counts: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The fewest edits between documents i and j by their signatures and numbers of words: a word put in or left out
+    changes one count, a word in another's place two."""
+    apart = [np.abs(counts[i[part]] - counts[j[part]]).sum(axis=1) for part in np.array_split(np.arange(len(i)), len(i) // 4096 + 1)]
+    return (np.concatenate(apart) + np.abs(words[i] - words[j]) + 1) // 2
+
+
+def _counts(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def bound_pairs(pairs: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, edits, possible: the fewest edits that signatures and numbers of words allow, and whether these are few
+    enough. signed: doc_id, n_words, signature, a row per id."""
+    side = lambda c: signed.select(F.col("doc_id").alias(c), F.col("n_words").alias(f"n{c}"), F.col("signature").alias(f"s{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            counts = _counts([*batch.column("sa").to_pylist(), *batch.column("sb").to_pylist()])
+            words = np.concatenate((batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+            i = np.arange(len(batch))
+            j = i + len(batch)
+            edits = _bound(counts, words, i, j)
+            most = np.floor((1 - similarity) * np.maximum(words[i], words[j]) + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(edits, pa.int64()), pa.array(edits <= most)], names=["a", "b", "edits", "possible"])
+
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, edits long, possible boolean")
+
+
+def distance(u: np.ndarray, v: np.ndarray, most: int) -> int:
+    """banded_distance of two arrays, without what they have in common at both ends."""
+    n = min(len(u), len(v))
+    apart = np.flatnonzero(u[:n] != v[:n])
+    begin = int(apart[0]) if len(apart) else n
+    apart = np.flatnonzero(u[len(u) - (n - begin) :] != v[len(v) - (n - begin) :])
+    end = n - begin - 1 - int(apart[-1]) if len(apart) else n - begin
+    return banded_distance(u[begin : len(u) - end].tolist(), v[begin : len(v) - end].tolist(), most)
+
+
+def align_pairs(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, reach: int = 1) -> DataFrame:
     """a, b, edits, alike: alike if the texts' word sequences are at least `similarity` alike, 1 - edits / words of the
     longer. edits is exact for these, otherwise a lower bound: bands are `reach` times as wide as the allowed edits.
 
-    docs: doc_id and text, a row per id. Both joins are by document, so AQE can split one that stands in many pairs.
+    texts: doc_id and text, a row per id. Both joins are by document, so AQE can split one that stands in many pairs.
     """
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(docs.join(ids, "doc_id", "left_semi"))
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    prepare(spark)
+    prepare(texts.sparkSession)
 
     def run(batches):
-        hashes, kept = WordHashes(), {}
+        kept = {}
 
         def of(i, text):
             if i not in kept:
                 if len(kept) > 64:
                     kept.clear()
-                kept[i] = hashes.of((text or "").split())
+                words = word_hashes([text or ""])[0]
+                kept[i] = words, np.bincount((words % _U(4096)).astype(np.int64), minlength=4096)
             return kept[i]
 
         for batch in batches:
             a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             edits, alike = [], []
             for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
-                u, v = of(x, tx), of(y, ty)
+                (u, n), (v, m) = of(x, tx), of(y, ty)
                 most = _allowed(max(len(u), len(v)), similarity)
-                count = np.bincount((u % _U(4096)).astype(np.int64), minlength=4096) - np.bincount((v % _U(4096)).astype(np.int64), minlength=4096)
-                least = int(max(count[count > 0].sum(), -count[count < 0].sum()))
-                edits.append(least if least > reach * most else banded_distance(u.tolist(), v.tolist(), reach * most))
+                least = int(np.abs(n - m).sum() + abs(len(u) - len(v)) + 1) // 2
+                edits.append(least if least > reach * most else distance(u, v, reach * most))
                 alike.append(edits[-1] <= most)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(edits, pa.int64()), pa.array(alike, pa.bool_())], names=["a", "b", "edits", "alike"])
 
@@ -159,31 +205,54 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     """doc_id, class_id, n_words for every row of docs: class_id is the smallest doc_id reachable by verified links.
 
     Words are compared without case and outer punctuation. Documents of equal word sequences are one class from the
-    start. Others are candidates if they share a sketch. In a few turns each is aligned with the smallest doc_id of a bucket
-    (that of most of its buckets), and those that aren't alike go on to the next smallest; then, in each bucket of a sketch that still holds several classes, all pairs across
+    start. Others are candidates if they share a sketch. In a few turns each is compared with the smallest doc_id of a
+    bucket (that of most of its buckets), by word counts and, where these allow it, by alignment, and those that aren't
+    alike go on to the next smallest; then, in each bucket of a sketch that still holds several classes, all pairs across
     classes meet in blocks with their texts, and those are aligned there, once in one bucket of those they share, that
     neither word counts nor the triangle inequality (over the edits to a document that both were aligned with at first)
     can rule out. Only links leave a block, at most one a row. So a link is lost only where no sketch is shared
     (tests hold the share kept at 0.8 to 0.9 against brute force); no bucket is capped.
 
     Null, empty and wordless documents are their own class, and so are documents of fewer than four words but for equal
-    ones. Rows with a null doc_id get a null class. Rows of a repeated doc_id with different texts are compared by the
-    first text in order.
+    ones; long documents are compared whole. Rows with a null doc_id get a null class, and no other row is compared with
+    them. Rows of a repeated doc_id get one class: of several texts that whose word sequence has the smallest hash
+    counts. Of sketches equally often shared the smaller document counts. An empty table gives no rows, and other
+    columns, whatever their names, are not read.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     known = cut(describe(docs))
-    classes = known.where("n_words > 0 and doc_id is not null").groupBy("h1", "h2", "n_words").agg(F.min(F.struct("doc_id", "sketches", "signature")).alias("r"))
-    classes = cut(classes.select("h1", "h2", "n_words", "r.*"))
-    postings = cut(classes.select("doc_id", F.explode("sketches").alias("sketch")).where("sketch <> 0").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(classes.where("size(sketches) > 0").select("doc_id", "n_words", "h1", "h2"), "doc_id", "left_semi")
+    row = F.struct("h1", "h2", "n_words", "check")
+    twice = known.where("doc_id is not null").groupBy("doc_id").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first <> last")
+    twice = cut(twice.select("doc_id", "first"))
+    known = known.join(twice, "doc_id", "left").withColumn("_counts", F.col("first").isNull() | (F.col("first") == row))
+    known = known.withColumns({c: F.coalesce(f"first.{c}", c) for c in ("h1", "h2", "n_words")})
+    classes = known.where("n_words > 0 and doc_id is not null and _counts").groupBy("h1", "h2", "n_words").agg(F.min(F.struct("doc_id", "check", "sketches", "signature")).alias("r"))
+    classes, classes_at = table(classes.select("h1", "h2", "n_words", "r.*"))
+    known = known.select("doc_id", "n_words", "h1", "h2")
+    postings = classes.select("doc_id", F.explode(F.array_distinct("sketches")).alias("sketch")).where("sketch <> 0")
+    shared = postings.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1").select("sketch")
+    postings, postings_at = table(postings.join(shared, "sketch"))
+    met = postings.select(F.col("doc_id").alias("_id")).distinct()
+    signed = classes.join(met, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "check", "n_words", "signature", "sketches")
+    signed, signed_at = table(signed)
+    ours = signed.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"))
+    # the difference keeps `check` out of the keys of the join, so rows stay dealt by doc_id
+    texts = _texts(docs).join(ours, (F.col("doc_id") == F.col("_id")) & (F.col("check").bitwiseXOR(F.col("_check")) == 0), "left_semi")
+    texts, texts_at = table(texts.select("doc_id", "text").dropDuplicates(["doc_id"]))
+    paths = [classes_at, postings_at, signed_at, texts_at]
     rest, tested, links = postings, None, None
     for turn in range(STARS):
         low = rest.groupBy("sketch").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("sketch", "b")
-        starred = cut(rest.join(low, "sketch").where("doc_id > b"))
+        starred, at = table(rest.join(low, "sketch").where("doc_id > b"))
         edges = starred.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
         edges = edges.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-        made = cut(align_pairs(cut(edges), texts, similarity, reach=3).withColumn("turn", F.lit(turn)))
+        bounded, bounded_at = table(bound_pairs(edges, signed, similarity))
+        made = align_pairs(bounded.where("possible").select("a", "b"), texts, similarity, reach=3)
+        made = made.unionByName(bounded.where("not possible").select("a", "b", "edits", F.lit(False).alias("alike")))
+        made, made_at = table(made)
+        forget(spark, bounded_at)
+        paths += [at, made_at]
         tested = made if tested is None else tested.unionByName(made)
         new = made.where("alike").select("a", "b")
         links = new if links is None else links.unionByName(new)
@@ -191,25 +260,32 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
             break
         parents = _parents(links)
         left = starred.join(parents.select(F.col("a").alias("doc_id"), F.col("b").alias("x")), "doc_id", "left").join(parents.select(F.col("a").alias("b"), F.col("b").alias("y")), "b", "left")
-        rest = cut(left.where(F.coalesce("x", "doc_id") != F.coalesce("y", "b")).select("doc_id", "sketch"))
+        rest, at = table(left.where(F.coalesce("x", "doc_id") != F.coalesce("y", "b")).select("doc_id", "sketch"))
+        paths.append(at)
     best = F.max(F.struct("alike", (-F.col("edits")).alias("less"), "b")).alias("m")
     known_edits = tested.groupBy(F.col("a").alias("doc_id")).agg(best).select("doc_id", F.col("m.b").alias("other"), (-F.col("m.less")).alias("edits"), "m.alike")
-    label = classes.select("doc_id", "n_words", "signature", "sketches").join(known_edits, "doc_id", "left")
+    label = signed.drop("check").join(known_edits, "doc_id", "left")
     label = label.withColumns({"other": F.coalesce("other", "doc_id"), "edits": F.coalesce("edits", F.lit(0)), "alike": F.coalesce("alike", F.lit(True))})
-    label = cut(_with_component(label, links))
+    label, at = table(_with_component(label, links))
+    paths.append(at)
     mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
-    dealt = in_blocks(cut(postings.join(mixed, "sketch").join(label, "doc_id")), ["sketch"], "doc_id", block).join(texts.select("doc_id", "text"), "doc_id")
+    hot, at = table(postings.join(mixed, "sketch"))
+    paths.append(at)
+    dealt = in_blocks(hot.join(label, "doc_id"), ["sketch"], "doc_id", block).join(texts, "doc_id")
     dealt = dealt.withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
     columns = ["doc_id", "bucket", "component", "n_words", "signature", "sketches", "other", "edits", "alike", "text"]
-    across = cut(pairs_in_groups(dealt, ["sketch"], columns, lambda held, i, j: _alike(held, i, j, similarity)))
-    if across.take(1):
-        # the stars' components are the nodes of what is left
-        of = label.select("doc_id", "component")
-        ends = across.join(of.withColumnsRenamed({"doc_id": "a", "component": "x"}), "a").join(of.withColumnsRenamed({"doc_id": "b", "component": "y"}), "b")
-        joined = components(ends.select("x", "y"), "x", "y").select(F.col("id").alias("component"), F.col("component").alias("whole"))
-        label = of.join(joined, "component", "left").select("doc_id", F.coalesce("whole", "component").alias("component"))
-    whole = classes.select("h1", "h2", "n_words", "doc_id").withColumnRenamed("doc_id", "rep").join(label.select(F.col("doc_id").alias("rep"), "component"), "rep")
-    out = known.select("doc_id", "n_words", "h1", "h2").join(whole.drop("rep"), ["h1", "h2", "n_words"], "left")
+    across, at = table(pairs_in_groups(dealt, ["sketch"], columns, lambda held, i, j: _alike(held, i, j, similarity)))
+    paths.append(at)
+    of = label.select("doc_id", "component")
+    # the stars' components are the nodes of what is left
+    ends = across.join(of.withColumnsRenamed({"doc_id": "a", "component": "x"}), "a").join(of.withColumnsRenamed({"doc_id": "b", "component": "y"}), "b")
+    joined = components(ends.select("x", "y"), "x", "y").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    of = of.join(joined, "component", "left").select(F.col("doc_id").alias("rep"), F.coalesce("whole", "component").alias("component"))
+    whole = classes.select("h1", "h2", "n_words", F.col("doc_id").alias("rep")).join(of, "rep", "left")
+    whole = cut(whole.select("h1", "h2", "n_words", F.coalesce("component", "rep").alias("component")))
+    for path in paths:
+        forget(spark, path)
+    out = known.join(whole, ["h1", "h2", "n_words"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("class_id"), "n_words")
 
 
@@ -243,7 +319,7 @@ def _alike(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
     ok = _possible(held, i, j, similarity)
     ok = ok[_turn(held, i[ok], j[ok])]
     if "root" not in held:
-        held |= {"root": np.unique(held["component"], return_inverse=True)[1], "hashes": WordHashes(), "words": {}, "size": 0}
+        held |= {"root": np.unique(held["component"], return_inverse=True)[1], "words": {}, "size": 0}
     root, words, found = held["root"], held["words"], []
 
     def of(r):
@@ -251,7 +327,7 @@ def _alike(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
             if held["size"] > WORDS_HELD:
                 words.clear()
                 held["size"] = 0
-            w = held["hashes"].of((held["text"][r] or "").split())
+            w = word_hashes([held["text"][r] or ""])[0]
             words[r] = w, np.bincount((w % _U(4096)).astype(np.int64), minlength=4096).astype(np.int32)
             held["size"] += len(w) + 2048
         return words[r]
@@ -262,7 +338,7 @@ def _alike(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
             continue
         (u, count), (v, other) = of(x), of(y)
         most = _allowed(max(len(u), len(v)), similarity)
-        if (np.abs(count - other).sum() + abs(len(u) - len(v))) // 2 <= most and banded_distance(u.tolist(), v.tolist(), most) <= most:
+        if (np.abs(count - other).sum() + abs(len(u) - len(v)) + 1) // 2 <= most and distance(u, v, most) <= most:
             found.append(k)
             root[root == root[y]] = root[x]
     return np.array(found, np.int64)
@@ -279,6 +355,5 @@ def _possible(held, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarr
     far = (held["other"][a] == held["other"][b]) & (held["alike"][b] & (more > most[ok]) | held["alike"][a] & (-more > most[ok]))
     ok = ok[~far]
     if "counts" not in held:
-        held["counts"] = np.frombuffer(b"".join(held["signature"]), np.uint8).reshape(-1, BINS).astype(np.int16)
-    apart = [np.abs(held["counts"][i[part]] - held["counts"][j[part]]).sum(axis=1) for part in np.array_split(ok, len(ok) // 4096 + 1)]
-    return ok[np.concatenate(apart) <= 2 * most[ok]]
+        held["counts"] = _counts(held["signature"])
+    return ok[_bound(held["counts"], words, i[ok], j[ok]) <= most[ok]]

@@ -99,3 +99,39 @@ def test_sketch_keys_meet():
             row, keys = line_dedup.sketch_keys([a, "".join(b)][:: rng.choice([1, -1])], 0.05)
             met.append(bool(set(keys[row == 0].tolist()) & set(keys[row == 1].tolist())))
     assert sum(met) >= 0.985 * len(met), sum(met)
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    rows = [(5, "ka lo mi na pu qu"), (5, "zu wo xi ya te si"), (6, "ka lo mi na pu qu"), (7, "zu wo xi ya te si"), (None, "ka lo mi na pu qu"), (8, "ka lo mi na pu qu"), (8, "ka lo mi na pu qu")]
+    got = sorted(((r["doc_id"], r["class_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    same = [(5, 5), (5, 5), (6, 5), (7, 7), (8, 5), (8, 5), (None, None)]
+    other = [(5, 5), (5, 5), (6, 6), (7, 5), (8, 6), (8, 6), (None, None)]
+    assert got in (sorted(same, key=str), sorted(other, key=str))
+
+
+def test_near_duplicates_by_brute_force(spark):
+    """All pairs of a few hundred documents: no class joins what no links join, and nearly all links are within one."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 6))) for _ in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([6, 30, 45, 90, 200]))) for _ in range(60)]
+    for t in list(texts):
+        for share in (0.05, 0.1, 0.18):
+            words = t.split()
+            for k in rng.sample(range(len(words)), int(share * len(words))):
+                words[k] = rng.choice(vocabulary)
+            if rng.random() < 0.5:
+                words.insert(rng.randrange(len(words)), "zzz")
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(rows).collect()}
+    split = [t.split() for t in texts]
+    root, links = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            most = int(0.2 * max(len(split[i]), len(split[j])) + 1e-9)
+            if common.banded_distance(split[i], split[j], most) <= most:
+                links.append((i, j))
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert all(root[i] == root[got[i]] for i in got)
+    assert len(links) > 300 and sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
