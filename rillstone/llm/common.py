@@ -264,15 +264,17 @@ def banded_distance(a, b, most: int) -> int:
     return min(last, most + 1)
 
 
-def pairs_in_groups(rows: DataFrame, keys: list[str], columns: list[str], near) -> DataFrame:
-    """a, b: pairs of ids (a < b) that stand in one group of `keys`, in two blocks where lo < hi, and that near() keeps.
+def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near, rows: bool = False) -> DataFrame:
+    """a, b: pairs of ids (a < b) that stand in one group of `keys`, in two blocks where lo < hi, and that near() keeps;
+    or with `rows` the keys, lo, hi, own and id of each row that stands in such a pair.
 
-    rows: as in_blocks() gives them, with a column id. Rows are sorted by group and read as a stream: one task holds a
+    spread: as in_blocks() gives it, with a column id. Rows are sorted by group and read as a stream: one task holds a
     batch and at most one group of two blocks. near(columns, i, j) gets the sorted rows' `columns` as arrays and two
     arrays of places, and says which pairs to keep. Groups of two rows cost as little as the rows themselves.
     """
     by = [*keys, "lo", "hi"]
-    spread = rows.select(*by, "id", "own", *columns).repartition(*by).sortWithinPartitions(*by, "id")
+    spread = spread.select(*by, "id", "own", *columns).repartition(*by).sortWithinPartitions(*by, "id")
+    marks = [*by, "own", "id"]
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
         part = part.combine_chunks()
@@ -285,14 +287,20 @@ def pairs_in_groups(rows: DataFrame, keys: list[str], columns: list[str], near)
         code = np.cumsum(code > 0)
         i = np.arange(len(part))
         out, step = [np.zeros((0, 2), np.int64)], 1
+        touched = np.zeros(len(part), bool)
         while len(i):
             i = i[i + step < len(part)]
             i = i[code[i + step] == code[i]]
             ok = i[((lo[i] == hi[i]) | (own[i] != own[i + step])) & (ids[i] != ids[i + step])]
             if len(ok):
                 ok = ok[near(held, ok, ok + step)]
-                out.append(np.stack([ids[ok], ids[ok + step]], axis=1))
+                if rows:
+                    touched[ok] = touched[ok + step] = True
+                else:
+                    out.append(np.stack([ids[ok], ids[ok + step]], axis=1))
             step += 1
+        if rows:
+            return pa.RecordBatch.from_arrays([part.column(c).combine_chunks().filter(pa.array(touched)) for c in marks], names=marks)
         found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
@@ -316,4 +324,6 @@ def pairs_in_groups(rows: DataFrame, keys: list[str], columns: list[str], near)
         if held:
             yield pairs(pa.Table.from_batches(held))
 
+    if rows:
+        return spread.mapInArrow(run, spread.select(*marks).schema)
     return spread.mapInArrow(run, "a long, b long").distinct()

@@ -20,6 +20,8 @@ SKETCHES = 20
 BLOCK = 400
 #: Turns in which the documents of a bucket are aligned with its smallest one that they aren't known to differ from.
 STARS = 4
+#: Ids of documents whose texts are needed are broadcast up to so many; beyond that texts are dealt by id.
+MOST_BROADCAST = 1_000_000
 #: Bins of the word-count signature whose difference bounds the edit distance from below.
 BINS = 512
 #: Words whose hashes a task keeps while it aligns a block.
@@ -206,11 +208,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
 
     Words are compared without case and outer punctuation. Documents of equal word sequences are one class from the
     start. Others are candidates if they share a sketch. In a few turns each is compared with the smallest doc_id of a
-    bucket (that of most of its buckets), by word counts and, where these allow it, by alignment, and those that aren't
-    alike go on to the next smallest; then, in each bucket of a sketch that still holds several classes, all pairs across
-    classes meet in blocks with their texts, and those are aligned there, once in one bucket of those they share, that
-    neither word counts nor the triangle inequality (over the edits to a document that both were aligned with at first)
-    can rule out. Only links leave a block, at most one a row. So a link is lost only where no sketch is shared
+    bucket (that of most of its buckets) by word counts, and those that can't be alike go on to the next smallest; what
+    may be alike is aligned. Then, in each bucket of a sketch that still holds several classes, all pairs across classes
+    meet in blocks, and those are aligned there, once in one bucket of those they share, that neither word counts nor the
+    triangle inequality (over the edits to a document that both were aligned with before) can rule out; only rows with
+    such a pair are sent there with their texts. Only links leave a block, at most one a row. So a link is lost only where no sketch is shared
     (tests hold the share kept at 0.8 to 0.9 against brute force); no bucket is capped.
 
     Null, empty and wordless documents are their own class, and so are documents of fewer than four words but for equal
@@ -233,48 +235,59 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     postings = classes.select("doc_id", F.explode(F.array_distinct("sketches")).alias("sketch")).where("sketch <> 0")
     shared = postings.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1").select("sketch")
     postings, postings_at = table(postings.join(shared, "sketch"))
-    met = postings.select(F.col("doc_id").alias("_id")).distinct()
-    signed = classes.join(met, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "check", "n_words", "signature", "sketches")
-    signed, signed_at = table(signed)
-    ours = signed.select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"))
-    # the difference keeps `check` out of the keys of the join, so rows stay dealt by doc_id
-    texts = _texts(docs).join(ours, (F.col("doc_id") == F.col("_id")) & (F.col("check").bitwiseXOR(F.col("_check")) == 0), "left_semi")
-    texts, texts_at = table(texts.select("doc_id", "text").dropDuplicates(["doc_id"]))
-    paths = [classes_at, postings_at, signed_at, texts_at]
-    rest, tested, links = postings, None, None
+    signed, signed_at = table(classes.join(postings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "check", "n_words", "signature", "sketches"))
+    paths = [classes_at, postings_at, signed_at]
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """doc_id and text, a row per id, of so few documents as have a pair that must be aligned."""
+        ours, at = table(signed.join(ids.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")))
+        few = F.broadcast(ours) if ours.count() <= MOST_BROADCAST else ours
+        # the difference keeps `check` out of the keys of the join, so rows stay dealt by doc_id
+        found = _texts(docs).join(few, (F.col("doc_id") == F.col("_id")) & (F.col("check").bitwiseXOR(F.col("_check")) == 0), "left_semi")
+        found, path = table(found.select("doc_id", "text").dropDuplicates(["doc_id"]))
+        paths.extend([at, path])
+        return found
+
+    rest, tested = postings, None
     for turn in range(STARS):
         low = rest.groupBy("sketch").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").select("sketch", "b")
         starred, at = table(rest.join(low, "sketch").where("doc_id > b"))
         edges = starred.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("n"))
         edges = edges.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-        bounded, bounded_at = table(bound_pairs(edges, signed, similarity))
-        made = align_pairs(bounded.where("possible").select("a", "b"), texts, similarity, reach=3)
-        made = made.unionByName(bounded.where("not possible").select("a", "b", "edits", F.lit(False).alias("alike")))
-        made, made_at = table(made)
-        forget(spark, bounded_at)
+        made, made_at = table(bound_pairs(edges, signed, similarity))
         paths += [at, made_at]
         tested = made if tested is None else tested.unionByName(made)
-        new = made.where("alike").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        if turn == STARS - 1 or not made.where("not alike").take(1):
+        if turn == STARS - 1 or not made.take(1):
             break
-        parents = _parents(links)
+        parents = _parents(tested.where("possible").select("a", "b"))
         left = starred.join(parents.select(F.col("a").alias("doc_id"), F.col("b").alias("x")), "doc_id", "left").join(parents.select(F.col("a").alias("b"), F.col("b").alias("y")), "b", "left")
         rest, at = table(left.where(F.coalesce("x", "doc_id") != F.coalesce("y", "b")).select("doc_id", "sketch"))
         paths.append(at)
+    possible = tested.where("possible").select("a", "b")
+    aligned = align_pairs(possible, texts_of(possible.select(F.explode(F.array("a", "b")).alias("doc_id"))), similarity, reach=3)
+    tested, at = table(aligned.unionByName(tested.where("not possible").select("a", "b", "edits", F.lit(False).alias("alike"))))
+    paths.append(at)
     best = F.max(F.struct("alike", (-F.col("edits")).alias("less"), "b")).alias("m")
     known_edits = tested.groupBy(F.col("a").alias("doc_id")).agg(best).select("doc_id", F.col("m.b").alias("other"), (-F.col("m.less")).alias("edits"), "m.alike")
     label = signed.drop("check").join(known_edits, "doc_id", "left")
     label = label.withColumns({"other": F.coalesce("other", "doc_id"), "edits": F.coalesce("edits", F.lit(0)), "alike": F.coalesce("alike", F.lit(True))})
-    label, at = table(_with_component(label, links))
+    label, at = table(_with_component(label, tested.where("alike").select("a", "b")))
     paths.append(at)
     mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
     hot, at = table(postings.join(mixed, "sketch"))
     paths.append(at)
-    dealt = in_blocks(hot.join(label, "doc_id"), ["sketch"], "doc_id", block).join(texts, "doc_id")
-    dealt = dealt.withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
-    columns = ["doc_id", "bucket", "component", "n_words", "signature", "sketches", "other", "edits", "alike", "text"]
-    across, at = table(pairs_in_groups(dealt, ["sketch"], columns, lambda held, i, j: _alike(held, i, j, similarity)))
+    dealt = in_blocks(hot.join(label, "doc_id"), ["sketch"], "doc_id", block).withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
+    columns = ["doc_id", "bucket", "component", "n_words", "signature", "sketches", "other", "edits", "alike"]
+
+    def candidates(held, i, j):
+        ok = _possible(held, i, j, similarity)
+        return ok[_turn(held, i[ok], j[ok])]
+
+    # only rows with a pair that must be aligned go on, with their texts
+    marked, at = table(pairs_in_groups(dealt, ["sketch"], columns, candidates, rows=True))
+    paths.append(at)
+    dealt = marked.withColumn("doc_id", F.col("id")).join(label, "doc_id").join(texts_of(marked.select(F.col("id").alias("doc_id"))), "doc_id").withColumn("bucket", F.col("sketch"))
+    across, at = table(pairs_in_groups(dealt, ["sketch"], [*columns, "text"], lambda held, i, j: _alike(held, i, j, similarity)))
     paths.append(at)
     of = label.select("doc_id", "component")
     # the stars' components are the nodes of what is left
