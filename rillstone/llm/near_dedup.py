@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     mixed = postings.join(label.select("doc_id", "component"), "doc_id").groupBy("sketch").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("sketch")
     hot, at = table(postings.join(mixed, "sketch"))
     paths.append(at)
-    dealt = in_blocks(hot.join(label, "doc_id"), ["sketch"], "doc_id", block).withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
+    dealt = in_blocks(hot, ["sketch"], "doc_id", block).join(label, "doc_id").withColumns({"id": F.col("doc_id"), "bucket": F.col("sketch")})
     columns = ["doc_id", "bucket", "component", "n_words", "signature", "sketches", "other", "edits", "alike"]
 
     def candidates(held, i, j):
