@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Pairs of rows looked at at once.
+AT_ONCE = 500_000
 #: Rows of an Arrow batch sent to Python; texts may be long, so batches are short.
 ARROW_ROWS = "500"
 
@@ -173,6 +175,33 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(begin, places)
 
 
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' code points one after another, and how many each has."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4"), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+class Stretches:
+    """64-bit hashes of any stretches of code points: sums of random numbers times powers."""
+
+    def __init__(self, points: np.ndarray):
+        up, self.down = powers(len(points) + 1)
+        value = _characters()[1][points]
+        value *= up[: len(value)]
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(value, out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, size) -> np.ndarray:
+        """Of the code points begin to begin + size, for each of `begin`."""
+        return mix((self.sums[begin + size] - self.sums[begin]) * self.down[begin])
+
+    def all(self, size: int) -> np.ndarray:
+        """Of as many code points from each on, but for the last ones."""
+        n = max(0, len(self.sums) - size)
+        x = self.sums[size:] - self.sums[:n]
+        x *= self.down[:n]
+        return mix(x)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -264,12 +293,201 @@ def banded_distance(a, b, most: int) -> int:
     return min(last, most + 1)
 
 
-def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near, rows: bool = False) -> DataFrame:
+def _held(column: pa.Array):
+    """Numbers as an array, lists of them as rows filled up with zeros, and texts and bytes as a list."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        ends = column.offsets.to_numpy()
+        sizes = np.diff(ends)
+        out = np.zeros((len(column), int(sizes.max(initial=0))), np.int64)
+        row = np.repeat(np.arange(len(column)), sizes)
+        out[row, np.arange(len(row)) - (ends[:-1] - ends[0])[row]] = column.flatten().to_numpy()
+        return out
+    return column.to_pylist() if pa.types.is_binary(kind) or pa.types.is_string(kind) else column.to_numpy(zero_copy_only=False)
+
+
+def _gathered(batches: Iterable[pa.RecordBatch], by: list[str], rows: int = 60_000, size: int = 64_000_000) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted rows, of about so many rows or bytes, or one group."""
+    held, n_rows, n_bytes = [], 0, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        if n_rows >= rows or n_bytes >= size:
+            last = [held[-1].column(k)[len(held[-1]) - 1] for k in by]
+            at = 0
+            while at < len(batch) and all(batch.column(k)[at] == v for k, v in zip(by, last, strict=True)):
+                at += 1
+            if at < len(batch):
+                yield pa.Table.from_batches([*held, batch.slice(0, at)])
+                held, batch, n_rows, n_bytes = [], batch.slice(at), 0, 0
+        held.append(batch)
+        n_rows += len(batch)
+        n_bytes += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Pairs aligned side by side, and the widest band (edits each way) that is.
+ABREAST = 4096
+WIDEST = 255
+
+
+def _common(a: str, b: str) -> int:
+    """How many characters two texts have in common from the start on."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def banded_distances(texts: list[str], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """banded_distance of texts[i] and texts[j] for each pair, side by side: exact up to most, else more than that.
+
+    What two texts have in common at both ends needs no alignment. Pairs are ordered by their allowed edits and the
+    lengths of what is left, so that those side by side are alike; few pairs, and those of very wide bands, are aligned
+    one by one.
+    """
+    out = most + 1
+    rest, sides = [], []
+    for k, (x, y, limit) in enumerate(zip(i.tolist(), j.tolist(), most.tolist(), strict=True)):
+        a, b = texts[x], texts[y]
+        if len(a) > len(b):
+            a, b = b, a
+        if len(b) - len(a) > limit:
+            continue
+        begin = _common(a, b)
+        a, b = a[begin:], b[begin:]
+        end = _common(a[::-1], b[::-1])
+        a, b = a[: len(a) - end], b[: len(b) - end]
+        if not a or not limit:
+            out[k] = min(len(b), limit + 1)
+        else:
+            rest.append(k)
+            sides.append((a, b))
+    rest = np.array(rest, np.int64)
+    size = np.fromiter((len(b) for _, b in sides), np.int64, len(sides))
+    # no more edits than characters are left
+    limit = np.minimum(most[rest], size)
+    step = np.ceil(np.log(np.maximum(limit, 4)) / np.log(1.3))
+    order = np.lexsort((size, step))
+    at = 0
+    while at < len(order):
+        part = order[at : at + max(16, min(ABREAST, 4_000_000 // int(size[order[at]])))]
+        part = part[(step[part] == step[part[0]]) & (size[part] <= 2 * size[part[0]] + 16)]
+        at += len(part)
+        if len(part) < 48 or limit[part].max() > WIDEST:
+            out[rest[part]] = [banded_distance(*sides[k], int(most[rest[k]])) for k in part.tolist()]
+        else:
+            out[rest[part]] = _abreast([sides[k] for k in part.tolist()], int(limit[part].max()))
+    return out
+
+
+def _abreast(sides: list[tuple[str, str]], k: int) -> np.ndarray:
+    """Edit distances of pairs (shorter, longer) of texts by bit vectors of 2k + 1 diagonals, in as many 64-bit numbers as
+    that takes; what is more than k comes out as some number over k."""
+    sides_ = sorted(range(len(sides)), key=lambda x: -len(sides[x][0]))  # those with many columns first
+    a, n = code_points([sides[x][0] for x in sides_])
+    b, m = code_points([sides[x][1] for x in sides_])
+    code = np.concatenate((a, b))
+    seen = np.zeros(0x110000, bool)
+    seen[code] = True
+    letters = np.flatnonzero(seen)
+    if len(letters) < 250:
+        short = np.zeros(0x110000, np.uint8)
+        short[letters] = np.arange(2, len(letters) + 2)
+        code = short[code]
+    else:
+        code = code + np.uint32(2)
+    width, count, cols = 2 * k + 1, len(sides), int(n.max())
+
+    def laid(part, sizes, before, after, empty):
+        out = np.full((count, before + int(sizes.max()) + after), empty, code.dtype)
+        row = np.repeat(np.arange(count), sizes)
+        out[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + before] = part
+        return out
+
+    b = laid(code[len(a) :], m, k, max(0, cols - int(m.max())) + k + 1, 1)
+    a = np.ascontiguousarray(laid(code[: len(a)], n, 0, 0, 0).T)
+    limbs = width // 64 + 1
+    u, one = np.uint64, np.uint64(1)
+    bits = [(1 << width) - 1 >> 64 * q & (1 << 64) - 1 for q in range(limbs)]
+    mask = [u(x) for x in bits]
+    bits = [((1 << width) - 1 >> k << k) >> 64 * q & (1 << 64) - 1 for q in range(limbs)]
+    vp = np.stack([np.full(count, u(x)) for x in bits])
+    vn = np.zeros_like(vp)
+    last, ended, who = np.minimum(k, m), np.full(count, k + 1), np.array(sides_)
+    top_limb, top = divmod(width - 1, 64)
+    alive = np.searchsorted(-n, -np.arange(cols), side="left")  # pairs with more than so many columns
+    number = np.arange(count)
+    # eight bytes of 0 or 1 make one byte by a multiplication
+    size = (width + 7) // 8
+    equal = np.zeros((count, 8 * size), bool)
+    packed = np.zeros((count, 8 * limbs), np.uint8)
+    base, lowest = m - 1 + k, width - 1
+    for col in range(cols):
+        live = int(alive[col])
+        if col % 32 == 31:
+            # the value followed can fall by no more than the steps that are left along the last row
+            keep = (last <= 2 * k + n - m) | (n <= col)
+            if keep.sum() < 0.7 * len(keep):
+                ended[who[n <= col]] = last[n <= col]
+                keep &= n > col
+                a, b, n, m, last, who = np.ascontiguousarray(a[:, keep]), b[keep], n[keep], m[keep], last[keep], who[keep]
+                vp, vn, equal, packed, base, number = vp[:, keep], vn[:, keep], equal[keep], packed[keep], base[keep], number[: len(n)]
+                if not len(n):
+                    return ended
+                alive = np.searchsorted(-n, -np.arange(cols), side="left")
+                live = len(n)
+        np.equal(b[:live, col : col + width], a[col, :live, None], out=equal[:live, :width])
+        packed[:live, :size] = equal[:live].view(u) * u(0x0102040810204080) >> u(56)
+        p = packed[:live].view(u).T
+        v, w = vp[:, :live], vn[:, :live]
+        d0 = np.empty((limbs, live), u)
+        carry = None
+        for q in range(limbs):
+            term = p[q] & v[q]
+            total = term + v[q]
+            if limbs > 1:
+                over = total < term
+                if carry is not None:
+                    total += carry
+                    over |= (total == 0) & (carry == one)
+                carry = over.astype(u)
+            d0[q] = ((total ^ v[q]) | p[q] | w[q]) & mask[q]
+        hp = w | ~(d0 | v)
+        hn = d0 & v
+        at = np.minimum(np.maximum(base[:live] - col, 0), lowest)
+        if limbs == 1:
+            shift = at.astype(u)
+            down = (hp[0] >> shift & one).view(np.int64) - (hn[0] >> shift & one).view(np.int64)
+        else:
+            limb, shift = at >> 6, (at & 63).astype(u)
+            down = (hp[limb, number[:live]] >> shift & one).view(np.int64) - (hn[limb, number[:live]] >> shift & one).view(np.int64)
+        last[:live] += np.where(at == lowest, 1 - (d0[top_limb] >> u(top) & one).view(np.int64), down)
+        half = d0 >> one
+        if limbs > 1:
+            half[:-1] |= d0[1:] << u(63)
+        for q in range(limbs):
+            vp[q, :live] = (hn[q] | ~(half[q] | hp[q])) & mask[q]
+        vn[:, :live] = half & hp
+    ended[who] = last
+    return ended
+
+
+def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near, rows: bool = False, counts: bool = False) -> DataFrame:
     """a, b: pairs of ids (a < b) that stand in one group of `keys`, in two blocks where lo < hi, and that near() keeps;
-    or with `rows` the keys, lo, hi, own and id of each row that stands in such a pair.
+    or with `rows` the keys, lo, hi, own and id of each row that stands in such a pair; or with `counts`
+    rows a, b, n of some groups at once: where n > 0 the sum of the `weight` of the rows that near() keeps with a (its own
+    b), and where n = 0 edges a-b that connect what these pairs connect.
 
     spread: as in_blocks() gives it, with a column id. Rows are sorted by group and read as a stream: one task holds a
-    batch and at most one group of two blocks. near(columns, i, j) gets the sorted rows' `columns` as arrays and two
+    few thousand rows or one group of two blocks. near(columns, i, j) gets the sorted rows' `columns` as arrays and two
     arrays of places, and says which pairs to keep. Groups of two rows cost as little as the rows themselves.
     """
     by = [*keys, "lo", "hi"]
@@ -278,7 +496,7 @@ def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near
 
     def pairs(part: pa.Table) -> pa.RecordBatch:
         part = part.combine_chunks()
-        held = {c: part.column(c).to_pylist() if pa.types.is_binary(part.schema.field(c).type) else part.column(c).to_numpy() for c in columns}
+        held = {c: _held(part.column(c).combine_chunks()) for c in [*columns, "id", *keys]}
         ids, own, lo, hi = (part.column(c).to_numpy() for c in ("id", "own", "lo", "hi"))
         code = np.zeros(len(part), np.int64)
         for k in by:
@@ -292,38 +510,39 @@ def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near
             i = i[i + step < len(part)]
             i = i[code[i + step] == code[i]]
             ok = i[((lo[i] == hi[i]) | (own[i] != own[i + step])) & (ids[i] != ids[i + step])]
-            if len(ok):
+            if counts:
+                out.append(np.stack([ok, ok + step], axis=1))
+            elif len(ok):
                 ok = ok[near(held, ok, ok + step)]
                 if rows:
                     touched[ok] = touched[ok + step] = True
                 else:
                     out.append(np.stack([ids[ok], ids[ok + step]], axis=1))
             step += 1
+        if counts:
+            found, (nodes, of) = np.concatenate(out), np.unique(ids, return_inverse=True)
+            n, trees = np.zeros(len(nodes), np.int64), [np.zeros((0, 2), np.int64)]
+            for at in range(0, len(found), AT_ONCE):
+                i, j = found[at : at + AT_ONCE].T
+                ok = near(held, i, j)
+                i, j = i[ok], j[ok]
+                np.add.at(n, of[i], held["weight"][j])
+                np.add.at(n, of[j], held["weight"][i])
+                trees.append(forest(len(nodes), of[i], of[j]))
+            a, b = forest(len(nodes), *np.concatenate(trees).T).T
+            has = np.flatnonzero(n)
+            columns_ = (nodes[has], nodes[a]), (nodes[has], nodes[b]), (n[has], np.zeros(len(a), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns_], names=["a", "b", "n"])
         if rows:
             return pa.RecordBatch.from_arrays([part.column(c).combine_chunks().filter(pa.array(touched)) for c in marks], names=marks)
         found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        held = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = [batch.column(k)[len(batch) - 1] for k in by]
-            at = len(batch)
-            while at and all(batch.column(k)[at - 1] == v for k, v in zip(by, last, strict=True)):
-                at -= 1
-            if at:
-                yield pairs(pa.Table.from_batches([*held, batch.slice(0, at)]))
-                held = [batch.slice(at)]
-            elif held and any(held[-1].column(k)[len(held[-1]) - 1] != v for k, v in zip(by, last, strict=True)):
-                yield pairs(pa.Table.from_batches(held))
-                held = [batch]
-            else:
-                held.append(batch)
-        if held:
-            yield pairs(pa.Table.from_batches(held))
+        yield from map(pairs, _gathered(batches, by))
 
     if rows:
         return spread.mapInArrow(run, spread.select(*marks).schema)
+    if counts:
+        return spread.mapInArrow(run, "a long, b long, n long")
     return spread.mapInArrow(run, "a long, b long").distinct()

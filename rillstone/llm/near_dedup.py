@@ -319,7 +319,7 @@ def _turn(held, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether this is the bucket to compare a pair in: of those that both stand in, one chosen by hash of the pair, so
     that buckets of the same documents share the work."""
     if "all" not in held:
-        held["all"], held["id"] = np.stack(held["sketches"]).astype(_U), held["doc_id"].astype(_U)
+        held["all"], held["id"] = held["sketches"].astype(_U), held["doc_id"].astype(_U)
         held["at"] = held["bucket"].astype(_U)
     s, t = held["all"][i], held["all"][j]
     rank = np.where((s == t) & (s != 0), mix(s ^ mix(held["id"][i] + held["id"][j])[:, None]), _U(0xFFFFFFFFFFFFFFFF))

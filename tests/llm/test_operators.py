@@ -158,7 +158,7 @@ def test_lines(spark):
     kept = {k for k, r in got.items() if r["kept"]}
     assert kept == {(1, 0), (1, 1), (3, 1), *([(3, 0)] if common.banded_distance(base, f"Q{base[2:]}!x", 2) > 2 else [])}
     assert got[1, 0]["class_id"] == got[2, 1]["class_id"] == got[1, 3]["class_id"] and got[1, 1]["n_links"] == 1
-    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs(spark, texts), line_dedup.line_classes(docs(spark, texts))).collect()}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(docs(spark, texts)).collect()}
     assert left[1] == f"{base}\nshort\n" and 2 not in left and left[4] is None and left[5] == ""
 
 
