@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from rillstone.llm import common, embedding_dedup, line_dedup, near_dedup, queries
+from rillstone.llm import common, decontamination, embedding_dedup, line_dedup, near_dedup, queries
 
 
 def test_embeddings_of_a_large_near_group(spark):
@@ -135,3 +135,58 @@ def test_near_duplicates_by_brute_force(spark):
                 root = [min(a, b) if r in (a, b) else r for r in root]
     assert all(root[i] == root[got[i]] for i in got)
     assert len(links) > 200 and sum(got[i] == got[j] for i, j in links) >= 0.98 * len(links)
+
+
+def _alike(window, item, width=5):
+    a, b = (collections.Counter(tuple(x[i : i + width]) for i in range(len(x) - width + 1)) for x in (window, item))
+    both = sum((a & b).values())
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def test_contaminated_by_brute_force(spark):
+    """All windows of all documents, among them passages with swapped halves, repeated runs and changed words."""
+    rng = random.Random(5)
+    word = lambda: rng.choice("ka lo mi na pu qu ro si te vu wo xa yi ze".split()) + rng.choice("ab cd ef gh".split())
+    items = [[word() for _ in range(n)] for n in (5, 12, 30, 30, 80, 80)]
+    items.append(items[2][:10] * 4)
+    documents = []
+    for item in items:
+        for kind in range(9):
+            passage = list(item)
+            if kind in (1, 2):
+                passage = passage[len(item) // 2 :] + passage[: len(item) // 2]
+            for _ in range((0, 0, 0, 1, 2, 1, 3, 0, 0)[kind]):
+                passage[rng.randrange(len(passage))] = word()
+            if kind == 7:
+                del passage[len(passage) // 2]
+            if kind == 8:
+                passage = passage + passage
+            side = 0 if kind == 1 else 50
+            documents.append([word() for _ in range(side)] + passage + [word() for _ in range(side)])
+    want = {}
+    for d, doc in enumerate(documents):
+        for i, item in enumerate(items):
+            n = min(len(item), len(doc))
+            best = max(_alike(doc[s : s + n], item) for s in range(len(doc) - n + 1))
+            if best >= 0.8:
+                want[d, i] = round(best, 9)
+    bench = spark.createDataFrame([(i, " ".join(x), "c", 1, [1]) for i, x in enumerate(items)], "item_id long, text string, check string, n long, windows array<int>")
+    rows = spark.createDataFrame([(i, " ".join(x), "c", 1, 2, [1]) for i, x in enumerate(documents)], "doc_id long, text string, check string, n long, start long, windows array<int>")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontamination.contaminated(rows, bench).collect()}
+    assert got == want and len(want) > 25
+    left = decontamination.drop_contaminated(rows, decontamination.contaminated(rows, bench))
+    assert {r["doc_id"] for r in left.collect()} == set(range(len(documents))) - {d for d, _ in want}
+
+
+def test_hamming_blocks_meet_within_the_radius(spark):
+    rng = random.Random(6)
+    pairs = []
+    for distance in range(decontamination.RADIUS + 1):
+        for _ in range(20):
+            a = rng.getrandbits(64)
+            b = a
+            for k in rng.sample(range(64), distance):
+                b ^= 1 << k
+            pairs.append([x - (1 << 64) if x >> 63 else x for x in (a, b)])
+    rows = spark.createDataFrame(pairs, "a long, b long").select(decontamination.hamming_blocks("a").alias("a"), decontamination.hamming_blocks("b").alias("b"))
+    assert rows.where("arrays_overlap(a, b)").count() == len(pairs)
