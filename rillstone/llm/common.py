@@ -42,12 +42,15 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all executors are
+    this machine's (tests). On a cluster it must be set: others would write to their own disks."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found and sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc._jsc.sc().getCheckpointDir().get()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rillstone-')}"
         atexit.register(shutil.rmtree, found[7:], True)
         sc.setCheckpointDir(found)
@@ -55,10 +58,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read again, and its path: later stages don't depend on lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """df written to the shared folder and read again, and its path: later stages don't depend on lost executors.
+
+    What was shuffled for it isn't needed any more, but Spark deletes it only when the driver collects its garbage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -118,12 +118,12 @@ def _deal(docs: list[tuple[int, int]], parts: list[tuple[np.ndarray, ...]], buck
     bucket = (key & _U(buckets - 1)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
+    for b in np.flatnonzero(np.diff(ends)).tolist():
         own = order[ends[b] : ends[b + 1]]
         if len(own):
             used, at = np.unique(doc[own], return_inverse=True)
             head = np.array([len(used), len(own)], "<i8").tobytes() + ids[used].astype("<i8").tobytes() + crcs[used].astype("<u4").tobytes()
-            out.append((b, None, None, head + _five(key[own] >> _U(24)) + _five(rank[own]) + at.astype("<u4").tobytes() + _five(place[own])))
+            out.append((b, None, None, head + _five(key[own] >> _U(24)) + _five(rank[own]) + at.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes() + _five(place[own])))
     columns = zip(*out, strict=True) if out else ((), (), (), ())
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "doc_id", "crc", "packed"])
@@ -142,7 +142,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     which may overlap. docs: doc_id, text, crc. Two shuffles: cover points by key, and texts for the ends of copies."""
     spark = docs.sparkSession
     prepare(spark)
-    buckets = 1 << max(5, min(17, (docs.count() // 2048).bit_length()))
+    buckets = 1 << max(5, (docs.count() // 2048).bit_length())
 
     def sample(batches):
         held, parts, size = [], [], 0
@@ -171,8 +171,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ids = np.frombuffer(blob, "<i8", n, at)
             crcs = np.frombuffer(blob, "<u4", n, at + 8 * n)
             at += 12 * n
-            who = np.frombuffer(blob, "<u4", m, at + 10 * m)
-            for x, v in zip(got, (_from_five(blob[at : at + 5 * m]), _from_five(blob[at + 5 * m : at + 10 * m]), ids[who], crcs[who], _from_five(blob[at + 14 * m : at + 19 * m])), strict=True):
+            size = 2 if n <= 1 << 16 else 4
+            who = np.frombuffer(blob, f"<u{size}", m, at + 10 * m)
+            for x, v in zip(got, (_from_five(blob[at : at + 5 * m]), _from_five(blob[at + 5 * m : at + 10 * m]), ids[who], crcs[who], _from_five(blob[at + (10 + size) * m :])), strict=True):
                 x.append(v)
         k, rank, ids, crcs, place = map(np.concatenate, got)
         order = np.lexsort((ids, rank, k))
