@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -58,13 +59,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written to the shared folder and read again, and its path: later stages don't depend on lost executors.
-
-    What was shuffled for it isn't needed any more, but Spark deletes it only when the driver collects its garbage."""
+    """df written to the shared folder and read again, and its path: later stages don't depend on lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -72,6 +70,14 @@ def cut(df: DataFrame) -> DataFrame:
     return table(df)[0]
 
 
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of what has been written: Spark deletes them only when the driver collects its garbage,
+    and those of the latest query not before another one has run. To be called where much was shuffled."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    time.sleep(0.2)
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a table that table() wrote and no plan reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

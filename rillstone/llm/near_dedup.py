@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import banded_distance, chunks, components, cut, forget, in_blocks, mix, pairs_in_groups, prepare, table, word_hashes
+from .common import banded_distance, chunks, components, cut, forget, in_blocks, mix, pairs_in_groups, prepare, release, table, word_hashes
 
 #: Words of a run: SHINGLE in texts of at least LONG words, one in texts of LEAST to SHORT words. With 0.8 x SHORT =
 #: LONG two texts that are alike enough always have sketches of one kind; below LEAST words only equal texts are alike.
@@ -237,6 +237,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     postings, postings_at = table(postings.join(shared, "sketch"))
     signed, signed_at = table(classes.join(postings.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "check", "n_words", "signature", "sketches"))
     paths = [classes_at, postings_at, signed_at]
+    release(spark)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         """doc_id and text, a row per id, of so few documents as have a pair that must be aligned."""
@@ -246,6 +247,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
         found = _texts(docs).join(few, (F.col("doc_id") == F.col("_id")) & (F.col("check").bitwiseXOR(F.col("_check")) == 0), "left_semi")
         found, path = table(found.select("doc_id", "text").dropDuplicates(["doc_id"]))
         paths.extend([at, path])
+        release(spark)
         return found
 
     rest, tested = postings, None
@@ -298,6 +300,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, block: int
     whole = cut(whole.select("h1", "h2", "n_words", F.coalesce("component", "rep").alias("component")))
     for path in paths:
         forget(spark, path)
+    release(spark)
     out = known.join(whole, ["h1", "h2", "n_words"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("class_id"), "n_words")
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix, prepare
+from .common import chunks, forget, mix, prepare, release, table
 
 LENGTH = 50
 COVER = 24
@@ -201,7 +201,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = docs.select("doc_id", "text").mapInArrow(sample, "bucket int, doc_id long, crc long, packed binary")
     # rows of bucket -1 need no meeting: they are spread over as many groups as there are documents
     key = F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("doc_id"), F.lit(4 * buckets))).otherwise(F.col("bucket")).cast("int")
-    found = cut(dealt.withColumn("bucket", key).groupBy("bucket").applyInArrow(compare, "doc_id long, crc long, packed binary, kind int"))
+    found, found_at = table(dealt.withColumn("bucket", key).groupBy("bucket").applyInArrow(compare, "doc_id long, crc long, packed binary, kind int"))
+    release(spark)
     asked = found.where("kind = 1").groupBy("doc_id", "crc").agg(F.collect_list("packed").alias("asked"))
 
     def fetch(batches):
@@ -270,7 +271,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     fetched = docs.join(asked, ["doc_id", "crc"]).select("doc_id", "crc", "asked", "text").mapInArrow(fetch, "bucket int, packed binary")
     settled = fetched.groupBy("bucket").applyInArrow(settle, "doc_id long, crc long, packed binary")
     both = found.where("kind = 0").select("doc_id", "crc", "packed").unionByName(settled)
-    return both.groupBy("doc_id", "crc").agg(F.collect_list("packed").alias("packed"))
+    spans = table(both.groupBy("doc_id", "crc").agg(F.collect_list("packed").alias("packed")))[0]
+    forget(spark, found_at)
+    release(spark)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -282,7 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    spans = cut(repeated_spans(rows.where("doc_id is not null"), length))
+    spans = repeated_spans(rows.where("doc_id is not null"), length)
 
     def run(batches):
         for batch, texts in chunks(batches, STRETCH):
