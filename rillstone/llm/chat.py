@@ -15,14 +15,15 @@ from .common import prepare
 #: The template's own control strings, and those of other templates that texts may carry.
 OPEN, CLOSE = "<|turn|>", "<|end|>"
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-_HIDE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
+_HIDE = re.compile("|".join([re.escape("\\"), *(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL)]))
 _SHOW = re.compile(r"\\(.)", re.S)
 TRAINED = "assistant"
 
 
 def escape(text: str) -> str:
-    """A backslash goes before each backslash and inside each control string, behind its first character."""
-    return _HIDE.sub(lambda m: "\\\\" if m[0] == "\\" else f"{m[0][0]}\\{m[0][1:]}", text)
+    """A backslash goes behind each backslash and behind the first character of each control string, of overlapping ones
+    too, so none is left."""
+    return _HIDE.sub(lambda m: f"{m[0]}\\", text)
 
 
 def unescape(text: str) -> str:

@@ -84,6 +84,19 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def row_ids(docs: DataFrame, column: str = "_row") -> DataFrame:
+    """docs with a column that tells rows apart: doc_id where it isn't null and stands once, else a number beyond 2**62
+    made from doc_id and text. Rows equal in both share it."""
+    spark = docs.sparkSession
+    own = F.col("doc_id").cast("long")
+    made = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1))
+    again = cut(docs.where("doc_id is not null").groupBy(own.alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"))
+    if not again.take(1):
+        return docs.withColumn(column, F.coalesce(own, made))
+    found = docs.join(again, own == F.col("_twice"), "left")
+    return found.withColumn(column, F.when(own.isNull() | F.col("_twice").isNotNull(), made).otherwise(own)).drop("_twice")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of a graph: (id, component), component the smallest id; ids without an edge aren't listed.
 

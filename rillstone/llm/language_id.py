@@ -27,8 +27,8 @@ def letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: its lower-case letter or mark, else a space; and whether it is a letter."""
     low = np.arange(0x110000, dtype=np.uint32)
     is_letter = np.zeros(0x110000, dtype=bool)
-    is_letter[0x20000:0xE0000] = True
-    for c in range(0x20000):
+    low[0x40000:] = 32
+    for c in range(0x40000):  # no code point beyond is a letter
         ch = chr(c)
         if ch.isalpha():
             is_letter[c] = True

@@ -32,6 +32,9 @@ class Encoder(Segments):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        merged = [spec["model"]["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if merged != sorted(set(merged)):
+            raise ValueError(f"{path}: ids aren't in the order of the merges, so they can't be taken for ranks")
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         super().__init__(list(self.added), most)
         byte = {s: b for b, s in enumerate(byte_symbols())}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare
+from .common import chunks, cut, prepare
 
 WORDS = 1 << 15
 BINS = 16
@@ -21,6 +21,8 @@ STATISTICS = (
 )
 #: Labelled rows that a fit takes at most, about; they are chosen by hash.
 SAMPLE = 6000
+#: Features that come to the driver at most: about 200 MB.
+MOST_CELLS = 16_000_000
 
 
 def _classes() -> np.ndarray:
@@ -121,14 +123,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank:
     """Learns labels.quality (0 or 1) from the texts of docs by AdaGrad, in about `steps` steps of 128 rows.
 
     About `sample` labelled rows at most are taken, by hash of their doc_id; only their features come to the driver.
-    Null labels are ignored; a doc_id with several labels has their rounded mean. Without both classes the model
-    answers the share of ones (0.5 if there are no labels).
+    Null labels are ignored; a doc_id with several labels has their rounded mean, and of a doc_id's rows the one with the
+    smallest hash of its text counts. Of the chosen rows so many go to the driver, by hash of their doc_id, as have
+    MOST_CELLS features together. Without both classes the model answers the share of ones (0.5 if there are no labels,
+    as for an empty table). Long texts are read whole; empty and null ones have no words. Other columns are not read.
     """
     prepare(docs.sparkSession)
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
     n = marks.count()
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < min(1.0, sample / max(n, 1)) * 1_000_000)
     rows = _columns(docs).join(F.broadcast(chosen), "doc_id")
+    one = F.min_by(F.struct("text", "n_chars", "quality"), F.struct(F.xxhash64("text"), "n_chars")).alias("r")
+    rows = rows.groupBy("doc_id").agg(one).select("doc_id", "r.*")
 
     def run(batches):
         features = Features()
@@ -139,7 +145,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank:
             dense = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * stats.shape[1], pa.int32()), pa.array(stats.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), cells, weights, dense], names=["doc_id", "quality", "cells", "weights", "dense"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, cells array<int>, weights array<float>, dense array<double>").toArrow().combine_chunks()
+    made = cut(rows.mapInArrow(run, "doc_id long, quality int, cells array<int>, weights array<float>, dense array<double>"))
+    sizes = made.select("doc_id", F.xxhash64("doc_id").alias("h"), F.size("cells").alias("n")).toPandas().sort_values(["h", "doc_id"])
+    few = sizes["doc_id"][sizes["n"].cumsum() <= MOST_CELLS].tolist()
+    got = made.where(F.col("doc_id").isin(few)).toArrow().combine_chunks() if len(few) < len(sizes) else made.toArrow().combine_chunks()
     got = got.take(np.argsort(got.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
     y = got.column("quality").to_numpy().astype(float)
     width = WORDS + len(STATISTICS) * BINS

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from rillstone.llm import common, decontamination, embedding_dedup, line_dedup, near_dedup, queries
+from rillstone.llm import chat, common, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, queries
 
 
 def test_embeddings_of_a_large_near_group(spark):
@@ -190,3 +190,41 @@ def test_hamming_blocks_meet_within_the_radius(spark):
             pairs.append([x - (1 << 64) if x >> 63 else x for x in (a, b)])
     rows = spark.createDataFrame(pairs, "a long, b long").select(decontamination.hamming_blocks("a").alias("a"), decontamination.hamming_blocks("b").alias("b"))
     assert rows.where("arrays_overlap(a, b)").count() == len(pairs)
+
+
+def test_escapes_leave_no_control_string():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["<", "|", ">", "\\", "s", "/", "[INST]", "<|>", "</s>", "<<SYS>>", "a", "\n"]) for _ in range(rng.randrange(8)))
+        hidden = chat.escape(text)
+        assert chat.unescape(hidden) == text and not any(c in hidden for c in chat.CONTROL)
+
+
+def test_letters_are_those_of_python():
+    _, is_letter = language_id.letters()
+    assert is_letter.tolist() == [chr(c).isalpha() for c in range(0x110000)]
+
+
+def test_pipeline_stages_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    text = "the same few words stand in this text and in its copies, which is why one of them stays"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, "another text that has no id but words of its own"), (3, None), (3, ""), (4, "unlike all others here, but its id stands twice"), (4, "other words under the id which stands twice as well")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "words that stand nowhere else at all in any row")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = corpus_pipeline.near(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    left = sorted((str(r["doc_id"]), r["text"] or "") for r in near.collect())
+    assert left == sorted([("2", text), ("None", rows[4][1]), ("3", ""), ("3", ""), ("4", rows[7][1]), ("4", rows[8][1])])
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() == len(rows)
+    lines = sorted((str(r["doc_id"]), r["text"] or "") for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect())
+    assert lines == sorted([("None", text), ("None", rows[4][1]), ("3", ""), ("3", ""), ("4", rows[7][1]), ("4", rows[8][1])])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
+def test_dropped_lines_stand_elsewhere(spark):
+    docs = spark.createDataFrame([(1, "abc\nunique q"), (1, "r\nabc"), (2, "abc"), (5, "xyz"), (5, "xyz"), (6, " " * 50 + "\nw"), (7, " " * 51 + "\nw")], "doc_id long, text string")
+    left = line_dedup.drop_lines(docs, share=line_dedup.SHARE)
+    lines = sorted(x for r in left.collect() for x in r["text"].split("\n") if x.strip())
+    assert lines == sorted(["abc", "unique q", "r", "xyz", "w"])
