@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pairs of rows looked at at once.
-AT_ONCE = 500_000
+AT_ONCE = 300_000
 #: Rows of an Arrow batch sent to Python; texts may be long, so batches are short.
 ARROW_ROWS = "500"
 
@@ -332,7 +332,7 @@ def _held(column: pa.Array):
     return column.to_pylist() if pa.types.is_binary(kind) or pa.types.is_string(kind) else column.to_numpy(zero_copy_only=False)
 
 
-def _gathered(batches: Iterable[pa.RecordBatch], by: list[str], rows: int = 60_000, size: int = 64_000_000) -> Iterator[pa.Table]:
+def _gathered(batches: Iterable[pa.RecordBatch], by: list[str], rows: int = 20_000, size: int = 24_000_000) -> Iterator[pa.Table]:
     """Tables of whole groups of sorted rows, of about so many rows or bytes, or one group."""
     held, n_rows, n_bytes = [], 0, 0
     for batch in batches:
@@ -532,12 +532,30 @@ def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near
         i = np.arange(len(part))
         out, step = [np.zeros((0, 2), np.int64)], 1
         touched = np.zeros(len(part), bool)
+        nodes, of = np.unique(ids, return_inverse=True)
+        weight, trees, waiting = np.zeros(len(nodes), np.int64), np.zeros((0, 2), np.int64), 0
+
+        def count() -> None:
+            """What near() keeps of the pairs that wait goes into the weights and the forest."""
+            nonlocal out, trees, waiting
+            a, b = np.concatenate(out).T
+            ok = near(held, a, b)
+            a, b = a[ok], b[ok]
+            np.add.at(weight, of[a], held["weight"][b])
+            np.add.at(weight, of[b], held["weight"][a])
+            trees = forest(len(nodes), *np.concatenate((trees, np.stack([of[a], of[b]], axis=1))).T)
+            out, waiting = out[:1], 0
+
         while len(i):
             i = i[i + step < len(part)]
             i = i[code[i + step] == code[i]]
             ok = i[((lo[i] == hi[i]) | (own[i] != own[i + step])) & (ids[i] != ids[i + step])]
             if counts:
-                out.append(np.stack([ok, ok + step], axis=1))
+                for at in range(0, len(ok), AT_ONCE):
+                    out.append(np.stack([ok[at : at + AT_ONCE], ok[at : at + AT_ONCE] + step], axis=1))
+                    waiting += len(out[-1])
+                    if waiting >= AT_ONCE:
+                        count()
             elif len(ok):
                 ok = ok[near(held, ok, ok + step)]
                 if rows:
@@ -546,18 +564,10 @@ def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near
                     out.append(np.stack([ids[ok], ids[ok + step]], axis=1))
             step += 1
         if counts:
-            found, (nodes, of) = np.concatenate(out), np.unique(ids, return_inverse=True)
-            n, trees = np.zeros(len(nodes), np.int64), [np.zeros((0, 2), np.int64)]
-            for at in range(0, len(found), AT_ONCE):
-                i, j = found[at : at + AT_ONCE].T
-                ok = near(held, i, j)
-                i, j = i[ok], j[ok]
-                np.add.at(n, of[i], held["weight"][j])
-                np.add.at(n, of[j], held["weight"][i])
-                trees.append(forest(len(nodes), of[i], of[j]))
-            a, b = forest(len(nodes), *np.concatenate(trees).T).T
-            has = np.flatnonzero(n)
-            columns_ = (nodes[has], nodes[a]), (nodes[has], nodes[b]), (n[has], np.zeros(len(a), np.int64))
+            count()
+            a, b = trees.T
+            has = np.flatnonzero(weight)
+            columns_ = (nodes[has], nodes[a]), (nodes[has], nodes[b]), (weight[has], np.zeros(len(a), np.int64))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns_], names=["a", "b", "n"])
         if rows:
             return pa.RecordBatch.from_arrays([part.column(c).combine_chunks().filter(pa.array(touched)) for c in marks], names=marks)

@@ -25,7 +25,7 @@ MOST_BROADCAST = 1_000_000
 #: Bins of the word-count signature whose difference bounds the edit distance from below.
 BINS = 512
 #: Words whose hashes a task keeps while it aligns a block.
-WORDS_HELD = 10_000_000
+WORDS_HELD = 4_000_000
 
 _U = np.uint64
 
