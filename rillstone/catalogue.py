@@ -50,10 +50,10 @@ _OHLC = "arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value)
 
 
 @query("""SELECT event_id, user_id, value * 2 + 1 AS scaled, CASE WHEN value > 50 THEN 'high' WHEN value > 10 THEN 'mid' ELSE 'low' END AS band
-FROM events WHERE event_type IN ('click', 'error') AND NOT (user_id IN (1, 2, 3)) AND value IS NOT NULL AND props LIKE '{"k"%' AND NOT contains(props, '99') AND user_id % 2 = 0""")
+FROM events WHERE event_type IN ('click', 'error', 'view') AND NOT (event_type IN ('error')) AND value IS NOT NULL AND props LIKE '{"k"%' AND NOT contains(props, '99') AND value * 2 - 1 > 3""")
 def filter_project(spark, d):
-    q = Query.from_(_t(spark, d, "events")).where(F.col("event_type").isin("click", "error")).where(~F.col("user_id").isin(1, 2, 3) & F.col("value").isNotNull())
-    q = q.where(call("StartsWith", F.col("props"), '{"k"') & ~call("Contains", F.col("props"), "99") & (F.col("user_id") % 2 == 0))
+    q = Query.from_(_t(spark, d, "events")).where(F.col("event_type").isin("click", "error", "view")).where(~F.col("event_type").isin("error") & F.col("value").isNotNull())
+    q = q.where(call("StartsWith", F.col("props"), '{"k"') & ~call("Contains", F.col("props"), "99") & (F.col("value") * 2 - 1 > 3))
     band = call("Case", F.col("value") > 50, F.lit("high"), F.col("value") > 10, F.lit("mid"), F.lit("low"))
     return q.select(event_id="event_id", user_id="user_id", scaled=F.col("value") * 2 + 1, band=band).to_df()
 
@@ -118,13 +118,13 @@ def fn_string(spark, d):
 
 
 @query("""SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(ceil(c_acctbal) AS BIGINT) AS c, round(sqrt(abs(c_acctbal)), 6) AS s, round(power(c_acctbal / 1000, 2), 6) AS p, CAST(sign(c_acctbal) AS DOUBLE) AS g,
-round(exp(c_acctbal / 10000), 6) AS e, round(sin(c_acctbal), 6) AS si, round(cos(c_acctbal), 6) AS co, round(atan(c_acctbal), 6) AS at, round(ln(abs(c_acctbal) + 1), 6) AS l, round(log10(abs(c_acctbal) + 1), 6) AS lt, round(ln(abs(c_acctbal) + 1) / ln(2), 6) AS lb, c_custkey % 7 AS m FROM customer""")
+round(exp(c_acctbal / 10000), 6) AS e, round(sin(c_acctbal), 6) AS si, round(cos(c_acctbal), 6) AS co, round(tan(c_acctbal / 10000), 6) AS ta, round(c_acctbal / 3 - 1, 6) AS di, round(ln(abs(c_acctbal) + 1), 6) AS l, round(log10(abs(c_acctbal) + 1), 6) AS lt, round(ln(abs(c_acctbal) + 1) / ln(2), 6) AS lb, c_custkey % 7 AS m FROM customer""")
 def fn_math(spark, d):
     x, p = F.col("c_acctbal"), F.abs("c_acctbal") + 1
     r = lambda c, n: F.round(c, 6).alias(n)
     return _t(spark, d, "customer").select(
         "c_custkey", call("Abs", x).alias("a"), call("Round", x, 1).alias("r"), call("Floor", x).alias("f"), call("Ceiling", x).alias("c"), r(call("Sqrt", F.abs(x)), "s"), r(call("Power", x / 1000, 2), "p"),
-        call("Sign", x).alias("g"), r(call("Exp", x / 10000), "e"), r(call("Sin", x), "si"), r(call("Cos", x), "co"), r(F.atan(x), "at"), r(call("Log", p), "l"), r(call("Log10", p), "lt"), r(call("Log", p, 2), "lb"), (F.col("c_custkey") % 7).alias("m"),
+        call("Sign", x).alias("g"), r(call("Exp", x / 10000), "e"), r(call("Sin", x), "si"), r(call("Cos", x), "co"), r(call("Tan", x / 10000), "ta"), r(x / 3 - 1, "di"), r(call("Log", p), "l"), r(call("Log10", p), "lt"), r(call("Log", p, 2), "lb"), (F.col("c_custkey") % 7).alias("m"),
     )
 
 
@@ -219,7 +219,7 @@ def agg_collect(spark, d):
 
 @query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def agg_count_distinct(spark, d):
-    return _t(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    return A.aggregate(_t(spark, d, "events"), ["event_type"], {"users": A.count_distinct("user_id")})
 
 
 @query("SELECT user_id, event_type AS v, count(*) AS n FROM events GROUP BY 1, 2")
@@ -229,12 +229,21 @@ def agg_histogram(spark, d):
 
 @query("SELECT event_type, array_to_string(list_transform(list_reverse_sort(list(value))[1:5], lambda x: printf('%.2f', x)), ',') AS top FROM events GROUP BY 1")
 def agg_topk(spark, d):
-    return A.aggregate(_t(spark, d, "events"), ["event_type"], {"top": A.expr(lambda a: F.array_join(F.transform(a, lambda x: F.format_string("%.2f", x)), ","), A.top_k("value", 5))})
+    top = A.top_rows(_t(spark, d, "events"), ["event_type"], "value", 5)
+    return top.withColumn("top", F.array_join(F.transform("top", lambda x: F.format_string("%.2f", x)), ","))
 
 
 @query("SELECT event_type, array_to_string(list_transform(list_reverse_sort(list(DISTINCT user_id))[1:4], lambda x: CAST(x AS VARCHAR)), ',') AS top FROM events GROUP BY 1")
 def agg_topk_distinct(spark, d):
-    return A.aggregate(_t(spark, d, "events"), ["event_type"], {"top": A.expr(lambda a: F.array_join(a.cast("array<string>"), ","), A.top_k("user_id", 4, distinct=True))})
+    top = A.top_rows(_t(spark, d, "events"), ["event_type"], "user_id", 4, distinct=True)
+    return top.withColumn("top", F.array_join(F.col("top").cast("array<string>"), ","))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS bucket, array_to_string(list_transform(list_reverse_sort(list(value))[1:3], lambda x: printf('%.2f', x)), ',') AS top, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def bars_merged_sets(spark, d):
+    text = lambda a: F.array_join(F.transform(a, lambda x: F.format_string("%.2f", x)), ",")
+    aggs = {"top": A.expr(text, A.top_k("value", 3)), "users": A.count_distinct("user_id")}
+    return bars.cascade(_t(spark, d, "events"), ["event_type"], "ts", aggs, [Frame.of("1h"), Frame.of("1d")])["1d"]
 
 
 @query("SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000")
@@ -248,11 +257,11 @@ def join_left(spark, d):
     return joins.join(_t(spark, d, "customer"), _t(spark, d, "orders").where("o_totalprice > 400000"), [("c_custkey", "o_custkey")], "left").select("c_custkey", F.coalesce("o_orderkey", F.lit(-1).cast("long")).alias("o_orderkey"))
 
 
-@query("SELECT a.event_id AS e1, b.event_id AS e2 FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND b.event_id - a.event_id < 500")
+@query("SELECT event_id, n FROM events JOIN (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) USING (user_id, event_type)")
 def join_composite(spark, d):
-    a, e = _t(spark, d, "events").select("event_id", "user_id", "event_type"), _t(spark, d, "events")
-    b = e.select(F.col("event_id").alias("e2"), F.col("user_id").alias("u2"), F.col("event_type").alias("t2"))
-    return joins.join(a, b, [("user_id", "u2"), ("event_type", "t2")]).where("event_id < e2 AND e2 - event_id < 500").select(F.col("event_id").alias("e1"), "e2")
+    e = _t(spark, d, "events")
+    b = A.aggregate(e, [F.col("user_id").alias("u2"), F.col("event_type").alias("t2")], {"n": A.count()})
+    return joins.join(e, b, [("user_id", "u2"), ("event_type", "t2")]).select("event_id", "n")
 
 
 @query("SELECT a.event_id AS click_id, b.event_id AS error_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 300 SECOND AND a.ts + INTERVAL 300 SECOND WHERE a.event_type = 'click' AND b.event_type <> 'click'")
@@ -389,11 +398,11 @@ def bucket_read(spark, d):
     return c.read_bars("tick", "5m", {"user_id": 8}, "2024-01-01 00:00:00").select("user_id", "bucket", "open", "close")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def tombstones(spark, d):
     from rillstone.sources.io import remove
 
-    return remove(_t(spark, d, "customer"), _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
+    return remove(_t(spark, d, "customer"), _t(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
 
 
 @query("SELECT event_id, CAST(time_bucket(INTERVAL 15 MINUTE, ts) AS TIMESTAMP) AS q, CAST(date_trunc('week', ts) AS TIMESTAMP) AS w, CAST(date_trunc('quarter', ts) AS TIMESTAMP) AS qt, ts + INTERVAL 1 MONTH AS next FROM events")
@@ -401,3 +410,86 @@ def period_math(spark, d):
     return _t(spark, d, "events").select("event_id", floor("ts", Frame.of("15m")).alias("q"), floor("ts", Frame.of("1wk")).alias("w"), floor("ts", Frame.of("3mo")).cast("timestamp_ntz").alias("qt"), add("ts", Frame.of("1mo")).alias("next"))
 
 
+
+
+@query(f"""WITH h AS (SELECT event_type, '1m' AS frame, time_bucket(INTERVAL 1 MINUTE, ts) AS bucket, {_OHLC} FROM events GROUP BY ALL UNION ALL SELECT event_type, '5m', time_bucket(INTERVAL 5 MINUTE, ts), {_OHLC} FROM events GROUP BY ALL
+UNION ALL SELECT event_type, '1h', date_trunc('hour', ts), {_OHLC} FROM events GROUP BY ALL UNION ALL SELECT event_type, '6h', time_bucket(INTERVAL 6 HOUR, ts), {_OHLC} FROM events GROUP BY ALL
+UNION ALL SELECT event_type, '1wk', CAST(date_trunc('week', ts) AS TIMESTAMP), {_OHLC} FROM events GROUP BY ALL) SELECT * FROM h""")
+def bars_every_frame(spark, d):
+    q = Query.from_(_t(spark, d, "events")).group_by("event_type").tumbling("ts", minutes=[1, 5], hours=[1, 6], weeks=[1])
+    out = None
+    for frame, bar in q.select(**_ohlc()).to_frames().items():
+        bar = bar.withColumn("frame", F.lit(frame))
+        out = bar if out is None else out.unionByName(bar)
+    return out
+
+
+@query("""SELECT event_id, nullif(event_type, 'click') AS kind, value > 50 AS large FROM events WHERE (nullif(event_type, 'click') IS NULL OR value > 90) AND (value > 50 OR nullif(event_type, 'view') IS NULL)""")
+def predicates_with_nulls(spark, d):
+    e = _t(spark, d, "events").withColumns({"kind": call("NullIf", F.col("event_type"), "click"), "large": F.col("value") > 50})
+    q = Query.from_(e).where(F.col("kind").isNull() | (F.col("value") > 90)).where(F.col("large") | call("NullIf", F.col("event_type"), "view").isNull())
+    return q.select(event_id="event_id", kind="kind", large="large").to_df()
+
+
+@query("SELECT c_custkey, substring(c_name, 4) AS s2, CASE WHEN length(c_mktsegment) < 40 THEN c_mktsegment END AS r40, TRY_CAST(c_mktsegment AS INTEGER) AS bad, TRY_CAST(right(c_name, 3) AS INTEGER) AS num, CAST(c_custkey AS INTEGER) AS i32, CAST(c_custkey AS BIGINT) AS i64, CAST(c_custkey AS DOUBLE) AS dbl FROM customer")
+def fn_convert(spark, d):
+    n, m, k = F.col("c_name"), F.col("c_mktsegment"), F.col("c_custkey")
+    return _t(spark, d, "customer").select(
+        "c_custkey", call("Substring", n, 4).alias("s2"), call("Right", m, 40).alias("r40"), call("Convert", m, "int").alias("bad"), call("Convert", call("Right", n, 3), "int").alias("num"),
+        call("ToInt32", k).alias("i32"), call("ToInt64", k).alias("i64"), call("ToDouble", k).alias("dbl"),
+    )
+
+
+@query("""SELECT event_id, json_array_length('[' || repeat('1,', CAST(event_id % 4 AS INTEGER)) || '2]') AS n, array_to_string(json_keys('{"' || event_type || '": 1, "z": 2}'), ',') AS k, event_type = 'click' AS has, event_type IN ('click', 'view') AS listed FROM events""")
+def fn_json_columns(spark, d):
+    t = F.col("event_type")
+    many = F.concat(F.lit("["), F.repeat(F.lit("1,"), (F.col("event_id") % 4).cast("int")), F.lit("2]"))
+    keyed = F.concat(F.lit('{"'), t, F.lit('": 1, "z": 2}'))
+    return _t(spark, d, "events").select(
+        "event_id", call("JsonArrayLength", many).alias("n"), F.array_join(call("JsonKeys", keyed), ",").alias("k"),
+        call("JsonArrayContains", F.concat(F.lit('["'), t, F.lit('"]')), "click").alias("has"), call("ArrayContains", F.array(F.lit("click"), F.lit("view")), t).alias("listed"),
+    )
+
+
+@query("SELECT user_id, event_id, ts AS t FROM events ORDER BY year(ts), month(ts), value / 2 DESC, event_id LIMIT 50")
+def order_by_functions(spark, d):
+    q = Query.from_(_t(spark, d, "events").withColumn("k", call("RowKey", F.col("user_id"), F.col("event_id"))))
+    q = q.order_by(call("Year", F.col("ts")), call("Month", F.col("ts"))).order_by((F.col("value") / 2).desc(), "event_id").limit(50)
+    return q.to_df().select("k.user_id", "k.event_id", call("RowTime", "ts").alias("t"))
+
+
+@query("SELECT c_nationkey + 1 AS n1, c_acctbal > 0 AS rich, count(*) AS n FROM customer GROUP BY 1, 2")
+def group_by_arithmetic(spark, d):
+    keys = [(F.col("c_nationkey") + 1).alias("n1"), (F.col("c_acctbal") > 0).alias("rich")]
+    return Query.from_(_t(spark, d, "customer")).group_by(*keys).where(F.col("n") > 0).select(n1="n1", rich="rich", n=A.count()).to_df()
+
+
+_RICH = "(SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000)"
+
+
+@query(f"SELECT o_orderkey, coalesce(c_name, '-') AS c_name FROM {_RICH} RIGHT JOIN orders ON c_custkey = o_custkey")
+def join_right(spark, d):
+    rich = _t(spark, d, "customer").where("c_acctbal > 5000")
+    q = Query.from_(rich).join(_t(spark, d, "orders"), [("c_custkey", "o_custkey")], "right")
+    return q.select(o_orderkey="o_orderkey", c_name=call("Coalesce", F.col("c_name"), "-")).to_df()
+
+
+@query(f"SELECT coalesce(o_orderkey, -1) AS o_orderkey, coalesce(c_name, '-') AS c_name FROM {_RICH} FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey")
+def join_full(spark, d):
+    rich, large = _t(spark, d, "customer").where("c_acctbal > 5000"), _t(spark, d, "orders").where("o_totalprice > 300000")
+    q = Query.from_(rich).join(large, [("c_custkey", "o_custkey")], "full")
+    return q.select(o_orderkey=call("Coalesce", F.col("o_orderkey"), F.lit(-1).cast("long")), c_name=call("Coalesce", F.col("c_name"), "-")).to_df()
+
+
+@query("SELECT a.event_id AS e, o_orderkey FROM events a JOIN orders ON user_id = o_custkey AND ts BETWEEN o_orderdate - INTERVAL 86400 SECOND AND o_orderdate + INTERVAL 86400 SECOND")
+def join_within_builder(spark, d):
+    q = Query.from_(TICKS).join(ORDERS, [("user_id", "o_custkey")]).within(86400).require_explicit_within()
+    return q.select(e="event_id", o_orderkey="o_orderkey").to_df({"events": _t(spark, d, "events"), "orders": _t(spark, d, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))})
+
+
+@query(f"SELECT event_type, date_trunc('hour', ts) AS bucket, count(*) AS cnt FROM events JOIN {_SCHEDULE} ON event_type = k AND open_at < ts AND ts <= close_at GROUP BY 1, 2")
+def session_bars_bounds(spark, d):
+    days = spark.sql("SELECT explode(array('click', 'error')) AS k, t FROM (SELECT explode(sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-06-30', interval 1 day)) AS t) WHERE weekday(t) < 5")
+    schedule = days.select("k", add("t", Frame.of("9h")).alias("open_at"), add("t", Frame.of("17h")).alias("close_at"))
+    q = Query.from_(_t(spark, d, "events")).time_frame(schedule, [("event_type", "k")], "open_at", "close_at", open_inclusive=False, close_inclusive=True)
+    return q.group_by("event_type").tumbling("ts", hours=[1]).select(cnt=A.count()).to_df()

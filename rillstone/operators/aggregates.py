@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Agg:
     """parts: suffix -> aggregate over rows; merge: suffix -> aggregate over parts (given all parts by suffix);
-    final: the value, given the parts by suffix; inner: aggregates of which this is an expression."""
+    final: the value, given the parts by suffix; direct: the value in one grouping of a batch, where Spark has a cheaper
+    aggregate than the parts that frames merge."""
 
     parts: dict[str, Column]
     merge: Callable[[dict[str, Column]], dict[str, Column]]
     final: Callable[[dict[str, Column]], Column]
+    direct: Column | None = None
 
     def cast(self, kind: str) -> Agg:
-        return Agg(self.parts, self.merge, lambda p: self.final(p).cast(kind))
+        return Agg(self.parts, self.merge, lambda p: self.final(p).cast(kind), None if self.direct is None else self.direct.cast(kind))
 
 
 def _col(x) -> Column:
@@ -73,7 +75,8 @@ def collect_set(x) -> Agg:
 
 
 def count_distinct(x) -> Agg:
-    return Agg({"l": F.collect_set(_col(x))}, lambda p: {"l": F.array_distinct(F.flatten(F.collect_list(p["l"])))}, lambda p: F.size(p["l"]).cast("long"))
+    """The number of different values: a set of them where frames merge or a stream goes on, else Spark's own count."""
+    return Agg({"l": F.collect_set(_col(x))}, lambda p: {"l": F.array_distinct(F.flatten(F.collect_list(p["l"])))}, lambda p: F.size(p["l"]).cast("long"), F.count_distinct(_col(x)))
 
 
 def top_k(x, k: int, distinct: bool = False) -> Agg:
@@ -103,9 +106,22 @@ def final(aggs: dict[str, Agg]) -> list[Column]:
 
 def aggregate(df: DataFrame, keys: list, aggs: dict[str, Agg]) -> DataFrame:
     """One grouping with Spark's partial and final aggregation; keys may be names or aliased columns."""
-    grouped = df.groupBy(*keys).agg(*partial(aggs))
-    width = len(grouped.columns) - sum(len(a.parts) for a in aggs.values())
-    return grouped.select(*grouped.columns[:width], *final(aggs))
+    direct = {} if df.isStreaming else {name: a.direct.alias(name) for name, a in aggs.items() if a.direct is not None}
+    parts = {name: a for name, a in aggs.items() if name not in direct}
+    grouped = df.groupBy(*keys).agg(*partial(parts), *direct.values())
+    width = len(grouped.columns) - sum(len(a.parts) for a in parts.values()) - len(direct)
+    ends = dict(zip(parts, final(parts), strict=True))
+    return grouped.select(*grouped.columns[:width], *[ends.get(name, F.col(name)) for name in aggs])
+
+
+def top_rows(df: DataFrame, keys: list[str], value: str, k: int, alias: str = "top", distinct: bool = False) -> DataFrame:
+    """keys and the k largest values of each, largest first. Ranks prune each task's rows before they are shuffled, so no
+    task holds more than k values of a key; a key without a value has none and is left out."""
+    rows = df.select(*keys, F.col(value).alias("_v")).where("_v is not null")
+    rows = rows.distinct() if distinct else rows
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_v").desc()))
+    best = rows.withColumn("_n", rank).where(F.col("_n") <= k)
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_v"))), lambda s: s["_v"]).alias(alias))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, alias: str = "histogram") -> DataFrame:

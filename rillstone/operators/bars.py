@@ -18,20 +18,30 @@ def names(base: str, frames: list[Frame]) -> dict[str, str]:
 
 def hub(ticks: DataFrame, keys: list[str], ts: str, aggs: dict[str, Agg]) -> DataFrame:
     """keys, bucket and the aggregates' parts for each key and second that has rows. Filters belong before it."""
-    w = ticks.groupBy(*keys, window_of(ts, HUB).alias("_w")).agg(*partial(aggs))
-    parts = [c for c in w.columns if c not in (*keys, "_w")]
-    return w.select(*keys, F.col("_w.start").alias("bucket"), *parts)
+    return _hub(ticks, keys, ts, aggs).drop("_day")
+
+
+def _hub(ticks: DataFrame, keys: list[str], ts: str, aggs: dict[str, Agg]) -> DataFrame:
+    """hub() with the day of each bucket, dealt by key and day: frames of up to a day need no further exchange, and a key
+    with many rows is spread over its days."""
+    days = ticks.withColumn("_day", F.date_trunc("day", ts).cast("timestamp_ntz")).repartition(*keys, "_day")
+    w = days.groupBy(*keys, "_day", window_of(ts, HUB).alias("_w")).agg(*partial(aggs))
+    parts = [c for c in w.columns if c not in (*keys, "_day", "_w")]
+    return w.select(*keys, "_day", F.col("_w.start").alias("bucket"), *parts)
 
 
 def cascade(ticks: DataFrame, keys: list[str], ts: str, aggs: dict[str, Agg], frames: list[Frame]) -> dict[str, DataFrame]:
-    """Bars (keys, bucket, aggregates) of each frame. All come from one hub; a frame is merged from the longest shorter
-    frame that divides it, so later frames read few rows."""
-    made: dict[Frame, DataFrame] = {HUB: hub(ticks, keys, ts, aggs)}
+    """Bars (keys, bucket, aggregates) of each frame, merged from the longest shorter frame that divides it, so later
+    frames read few rows. Rows are exchanged once, by key and day; only frames beyond a day exchange what days have left.
+    Each frame is a plan of its own: where several are written, give the hub as a table (hub(), written once)."""
+    made: dict[Frame, DataFrame] = {HUB: _hub(ticks, keys, ts, aggs)}
     out = {}
     for f in sorted(frames, key=lambda f: f.rank):
         whole = lambda g: (f.seconds or 86400) % g.seconds == 0 and g.seconds % 604800 if f.unit == "mo" else f.seconds % g.seconds == 0
         source = max((g for g in made if g.seconds and (g == HUB or whole(g))), key=lambda g: g.seconds)
-        made[f] = made[source].groupBy(*keys, floor("bucket", f).alias("bucket")).agg(*merged(aggs))
+        within = f.unit != "mo" and bool(f.seconds) and 86400 % f.seconds == 0
+        by = [*keys, "_day"] if within else keys
+        made[f] = made[source].groupBy(*by, floor("bucket", f).alias("bucket")).agg(*merged(aggs))
         out[str(f)] = made[f].select(*keys, "bucket", *final(aggs))
     return out
 
@@ -45,19 +55,18 @@ def rows_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def fill_gaps(bars: DataFrame, keys: list[str], frame: Frame, close: str = "close", others: tuple[str, ...] = ("open", "high", "low"), until: str | None = None) -> DataFrame:
     """bars with a flat bar (all prices the previous close) in each empty bucket up to the key's next bar, or until a
-    given time behind its last. Only the gaps are made, bar by bar, so nothing is sorted but each key's bars."""
+    given time behind its last. Each bar brings its gap, so bars are made once and nothing is sorted but each key's."""
     w = Window.partitionBy(*keys).orderBy("bucket")
     step = F.expr(f"INTERVAL {frame.interval()}")
     end = F.lead("bucket").over(w)
     if until:
         end = F.coalesce(end, F.lit(until).cast(bars.schema["bucket"].dataType))
-    stops = bars.withColumn("_end", end)
-    gap = stops.where(F.col("_end") > F.col("bucket") + step)
-    gap = gap.withColumn("_b", F.explode(F.sequence(F.col("bucket") + step, F.col("_end") - step, step)))
-    flat = {"bucket": F.col("_b"), **{c: F.col(close) for c in others}}
+    last = F.when(end > F.col("bucket") + step, end - step).otherwise(F.col("bucket"))
+    made = bars.withColumn("_last", last).select("*", F.posexplode(F.sequence("bucket", "_last", step)).alias("_k", "_b"))
+    own = F.col("_k") == 0
     blank = [c for c in bars.columns if c not in (*keys, "bucket", close, *others)]
-    filled = gap.withColumns(flat | {c: F.lit(None).cast(bars.schema[c].dataType) for c in blank}).select(*bars.columns)
-    return bars.withColumn("filled", F.lit(False)).unionByName(filled.withColumn("filled", F.lit(True)))
+    flat = {"bucket": F.col("_b"), "filled": ~own} | {c: F.when(own, F.col(c)).otherwise(F.col(close)) for c in others} | {c: F.when(own, F.col(c)) for c in blank}
+    return made.withColumns(flat).select(*bars.columns, "filled")
 
 
 def dedup_in_window(ticks: DataFrame, keys: list[str], ts: str, watermark: str | None = None) -> DataFrame:

@@ -27,10 +27,11 @@ def join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str
     return left.join(right, _condition(left, right, on), how)
 
 
-def join_within(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_ts: str, right_ts: str, seconds: float | None = None, explicit: bool = False) -> DataFrame:
+def join_within(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], left_ts: str, right_ts: str, seconds: float | None = None, explicit: bool = False, late: str | None = None) -> DataFrame:
     """Stream-stream inner join: keys equal and event times at most `seconds` apart, rounded up; 300 by default.
 
-    In batch, rows are first matched by key and by time slot (a slot is as long as the bound; the right side goes into
+    In a stream both sides have a watermark (`late` behind the newest event time, or as long as the bound), so that rows
+    which can't match any more are forgotten. In batch, rows are first matched by key and by time slot (a slot is as long as the bound; the right side goes into
     its own and the two beside it), so a key with many rows meets only those near in time.
     """
     if seconds is None:
@@ -42,6 +43,10 @@ def join_within(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], le
     bound = int(-(-seconds // 1))
     span = F.expr(f"INTERVAL {bound} SECONDS")
     near = (right[right_ts] >= left[left_ts] - span) & (right[right_ts] <= left[left_ts] + span)
+    if left.isStreaming and right.isStreaming:
+        a, b = (d.withWatermark(t, late or f"{bound} seconds") for d, t in ((left, left_ts), (right, right_ts)))
+        near = (b[right_ts] >= a[left_ts] - span) & (b[right_ts] <= a[left_ts] + span)
+        return a.join(b, _condition(a, b, on) & near)
     if left.isStreaming or right.isStreaming:
         return left.join(right, _condition(left, right, on) & near)
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
@@ -54,8 +59,13 @@ def join_within(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], le
 
 def join_session(rows: DataFrame, schedule: DataFrame, on: list[tuple[str, str]], ts: str, open_: str, close: str, open_inclusive: bool = True, close_inclusive: bool = False) -> DataFrame:
     """Rows inside a session of their key, with the schedule's columns: open <= t < close, each bound as flagged.
-    Rows of an unknown key are outside every session."""
-    t = rows[ts]
-    begin = schedule[open_] <= t if open_inclusive else schedule[open_] < t
-    end = t <= schedule[close] if close_inclusive else t < schedule[close]
-    return rows.join(schedule, _condition(rows, schedule, on) & begin & end)
+    Rows of an unknown key are outside every session. A session stands once for each day it touches, so that a row meets
+    the sessions of its own day alone."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    days = F.explode(F.sequence(day(F.col(open_)), F.greatest(day(F.col(open_)), day(F.col(close))), F.expr("INTERVAL 1 DAY")))
+    slotted = schedule.withColumn("_day", days)
+    own = rows.withColumn("_of", day(F.col(ts)))
+    t = own[ts]
+    begin = slotted[open_] <= t if open_inclusive else slotted[open_] < t
+    end = t <= slotted[close] if close_inclusive else t < slotted[close]
+    return own.join(slotted, _condition(own, slotted, on) & (own["_of"] == slotted["_day"]) & begin & end).drop("_of", "_day")

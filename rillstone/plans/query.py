@@ -17,6 +17,10 @@ from rillstone.operators.windows import Frame, frames, hopping, validate_frames
 MOST_KEYS, MOST_ORDER, MOST_SOURCES = 10, 5, 2
 
 
+def _literal(c: Column) -> bool:
+    return c._jc.node().getClass().getSimpleName() == "Literal"
+
+
 @dataclass(frozen=True)
 class Query:
     """Built by from_() and the clause methods; each returns a new query. Repeated where() and having() are ANDed."""
@@ -46,8 +50,11 @@ class Query:
         return Query(source)
 
     def where(self, condition: Column) -> Query:
+        """Filters rows; after group_by() it filters groups, as having()."""
         if self.projection:
             raise ModelError("where() comes before select()")
+        if self.keys:
+            return self.having(condition)
         return replace(self, wheres=(*self.wheres, condition))
 
     def join(self, other: Entity | DataFrame, on: list[tuple[str, str]], how: str = "inner") -> Query:
@@ -69,6 +76,8 @@ class Query:
             raise ModelError("group_by() comes before select()")
         if not keys or any(not isinstance(k, (str, Column)) for k in keys):
             raise ModelError("group_by() takes columns, not constants")
+        if any(isinstance(k, Column) and _literal(k) for k in keys):
+            raise ModelError("group_by() takes columns, not constants")
         return replace(self, keys=keys)
 
     def having(self, condition: Column) -> Query:
@@ -141,6 +150,8 @@ class Query:
             raise ModelError("partition_by() is for a single source without grouping or windows")
         if self.hop and any(how != "inner" for _, _, how in self.joined):
             raise ModelError("a join before a hopping window is an inner join with a table")
+        if self.bound and not any(self._bounded(other, how) for other, _, how in self.joined):
+            raise ModelError("within() is for an inner join of two streams with event times")
         if self.continuation and not self.windows:
             raise ModelError("continuation needs tumbling()")
         if self.windows or self.hop:
@@ -151,6 +162,11 @@ class Query:
             if len(self.keys) > MOST_KEYS or len(self.order) > MOST_ORDER:
                 raise ModelError(f"at most {MOST_KEYS} keys and {MOST_ORDER} order columns")
 
+    def _bounded(self, other, how: str) -> bool:
+        """Whether a join with `other` is bounded in time: an inner one of two streams with event times."""
+        streams = isinstance(self.source, Entity) and isinstance(other, Entity) and STREAM == self.source.kind == other.kind
+        return bool(how == "inner" and streams and self.source.timestamp and other.timestamp)
+
     def _frame(self, source, sources: Mapping[str, DataFrame]) -> DataFrame:
         return sources[source.name] if isinstance(source, Entity) else source
 
@@ -159,9 +175,8 @@ class Query:
         df = self._frame(self.source, sources)
         for other, on, how in self.joined:
             right = self._frame(other, sources)
-            streams = isinstance(self.source, Entity) and isinstance(other, Entity) and STREAM == self.source.kind == other.kind
-            if how == "inner" and streams and self.source.timestamp and other.timestamp:
-                df = joins.join_within(df, right, list(on), self.source.timestamp, other.timestamp, self.bound, self.explicit_bound)
+            if self._bounded(other, how):
+                df = joins.join_within(df, right, list(on), self.source.timestamp, other.timestamp, self.bound, self.explicit_bound, self.grace)
             else:
                 df = joins.join(df, right, list(on), how)
         for w in self.wheres:
@@ -214,6 +229,8 @@ class Query:
         aggs, keys, out = self.aggregates(), [k for k in self.keys if isinstance(k, str)], {}
         if len(keys) < len(self.keys):
             raise ModelError("keys of a windowed query are columns")
+        if df.isStreaming and self.continuation:
+            raise ModelError("gaps are filled in a batch, not in a stream")
         if df.isStreaming:
             from rillstone.operators.windows import floor, window_of
 
