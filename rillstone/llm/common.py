@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -132,8 +133,22 @@ def _stars(e: DataFrame) -> bool:
     return not seen.where("ups > 1 or ups = 1 and down = 0").select("ups").take(1)
 
 
-def chunks(it: Iterable[pa.RecordBatch], limit: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def trim() -> None:
+    """Gives the memory that a worker has freed back to the machine: workers wait for further tasks, beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def chunks(it: Iterable[pa.RecordBatch], limit: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of batches with a column `text`, each of about `limit` characters or one row; null texts become ''."""
+    yield from _chunks(it, limit)
+    trim()
+
+
+def _chunks(it: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in it:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         begin = size = 0
@@ -576,6 +591,7 @@ def pairs_in_groups(spread: DataFrame, keys: list[str], columns: list[str], near
 
     def run(batches):
         yield from map(pairs, _gathered(batches, by))
+        trim()
 
     if rows:
         return spread.mapInArrow(run, spread.select(*marks).schema)
