@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,9 @@ from rillstone.model import STREAM, TABLE, Entity, ModelError
 from rillstone.operators.bars import names, newest, rows_last
 from rillstone.operators.windows import Frame, floor
 from rillstone.plans.query import Query
-from rillstone.streaming.errors import DLQ, RetryPolicy, for_each_batch
+from rillstone.sources.changelog import ChangeLog
+from rillstone.streaming.errors import DLQ, RetryPolicy, for_each_batch, for_each_row
+from rillstone.streaming.monitor import Incident, incidents
 
 
 class EntitySet:
@@ -24,7 +27,7 @@ class EntitySet:
 
     @property
     def df(self) -> DataFrame:
-        return self.context.frames[self.entity.name]
+        return self.context.frame(self.entity.name)
 
     def to_list(self, limit: int | None = None) -> list:
         """A table's rows, to the driver: give a limit unless the table is known to be small. Streams can't be listed."""
@@ -33,11 +36,16 @@ class EntitySet:
         return (self.df if limit is None else self.df.limit(limit)).collect()
 
     def add(self, rows: DataFrame) -> None:
+        """Adds rows: to the store if the entity has one, else to what this context sees."""
+        if self.entity.name in self.context.stores:
+            return self.context.stores[self.entity.name].write(rows)
         self.context.frames[self.entity.name] = self.df.unionByName(rows)
 
     def remove(self, gone: DataFrame) -> None:
         if not self.entity.keys:
             raise ModelError(f"{self.entity.name} has no key")
+        if self.entity.name in self.context.stores:
+            return self.context.stores[self.entity.name].delete(gone)
         self.context.frames[self.entity.name] = self.df.join(gone.select(*self.entity.keys).distinct(), list(self.entity.keys), "left_anti")
 
     def map(self, **columns: Column) -> DataFrame:
@@ -56,6 +64,14 @@ class EntitySet:
         run = for_each_batch(handle, action, retry, dead)
         return self.df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+    def for_each_row(self, handle: Callable[[dict], None], checkpoint: str, action: str = "Skip", retry: RetryPolicy | None = None, dead: ChangeLog | None = None) -> StreamingQuery:
+        """Calls handle on the workers with each row as it comes; rows that fail after all tries are skipped, fail the batch
+        (Retry) or go to the dead letters. The checkpoint commits whole batches, so a row may be handled again."""
+        if action == DLQ and self.entity.name == self.context.dead_letters:
+            raise ModelError("dead letters can't fail to the dead letters")
+        run = for_each_row(handle, self.entity.name, action, retry, dead)
+        return self.df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
 class StreamContext:
     """Owns entities, their DataFrames and defined queries."""
@@ -65,6 +81,71 @@ class StreamContext:
         self.entities: dict[str, Entity] = {}
         self.frames: dict[str, DataFrame] = {}
         self.queries: dict[str, Query] = {}
+        self.stores: dict[str, ChangeLog] = {}
+
+    def frame(self, name: str) -> DataFrame:
+        """A stored entity's rows as they are now, else the registered DataFrame."""
+        return self.stores[name].read() if name in self.stores else self.frames[name]
+
+    def store(self, entity: Entity, path: str) -> EntitySet:
+        """Registers an entity whose rows are kept in a shared folder."""
+        self.stores[entity.name] = ChangeLog(self.spark, entity, path)
+        return self.register(entity, self.stores[entity.name].read())
+
+    def persist(self, entity: Entity, query: Query, path: str, checkpoint: str | None = None, by: str | None = None, available_now: bool = True, retry: RetryPolicy | None = None) -> StreamingQuery | None:
+        """A query that keeps writing its rows to an entity: a table's changes, a stream's new rows. Several queries may
+        insert into one entity, each by a name and checkpoint of its own. A batch is written once, each time anew; for a
+        stream the running query is returned, and its start is tried as often as `retry` says."""
+        if (query.kind() == TABLE) != (entity.kind == TABLE):
+            raise ModelError(f"{entity.name} is a {entity.kind}, the query gives a {query.kind()}")
+        df = query.to_df({n: self.frame(n) for n in self.entities}, entity)
+        if entity.name not in self.stores:
+            self.store(entity, path)
+        self.queries[entity.name] = query
+        log, by = self.stores[entity.name], by or entity.name
+        if not df.isStreaming:
+            return log.write(df, by, 0)
+        if checkpoint is None:
+            raise ModelError("a stream needs a checkpoint")
+        return (retry or RetryPolicy()).run(lambda: log.follow(df, by, checkpoint, available_now))
+
+    def persist_bars(self, entity: Entity, query: Query, path: str, checkpoint: str, fill: bool = False, available_now: bool = True) -> StreamingQuery:
+        """Closed bars of one timeframe kept in an entity with the key column bucket; fill adds flat bars in empty buckets
+        between a key's bars as they come."""
+        if len(query.windows) != 1 or entity.kind != TABLE or "bucket" not in entity.keys:
+            raise ModelError("bars of one timeframe go to a table with bucket among its keys")
+        df = query.to_df({n: self.frame(n) for n in self.entities})
+        if entity.name not in self.stores:
+            self.store(entity, path)
+        log = self.stores[entity.name]
+        if fill:
+            return log.follow_filled(df, query.windows[0], entity.name, checkpoint, available_now=available_now)
+        return log.follow(df, entity.name, checkpoint, available_now, "append")
+
+    def write_bars(self, base: str, period: str, rows: DataFrame) -> None:
+        """Writes bars to the period's stored entity."""
+        name = f"{base}_{Frame.of(period)}_live"
+        if name not in self.stores:
+            raise ModelError(f"{name} isn't stored")
+        self.stores[name].write(rows)
+
+    def wait_for_bucket(self, base: str, period: str, keys: dict[str, object], bucket: str, tolerance: float = 0, timeout: float = 10, poll: float = 0.5) -> bool:
+        """Whether a bar of the key stands within `tolerance` seconds of the bucket before `timeout` seconds are over; if
+        not, an incident is published."""
+        if not keys:
+            raise ModelError("a key is needed")
+        name, ends = f"{base}_{Frame.of(period)}_live", time.monotonic() + timeout
+        span, at = F.expr(f"INTERVAL {tolerance} SECONDS"), F.lit(bucket).cast("timestamp_ntz")
+        while True:
+            df = self.frame(name).where(F.col("bucket").cast("timestamp_ntz").between(at - span, at + span))
+            for k, v in keys.items():
+                df = df.where(F.col(k) == F.lit(v))
+            if df.take(1):
+                return True
+            if time.monotonic() + poll > ends:
+                incidents.publish(Incident("timebucket_timeout", base, period, keys, bucket, "the bucket didn't come in time"))
+                return False
+            time.sleep(poll)
 
     def register(self, entity: Entity, df: DataFrame) -> EntitySet:
         self.entities[entity.name], self.frames[entity.name] = entity, df
@@ -100,7 +181,7 @@ class StreamContext:
         return self.frames[name]._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def pull_rows(self, name: str, where: Column | None = None, limit: int | None = None) -> DataFrame:
-        df = self.frames[name] if where is None else self.frames[name].where(where)
+        df = self.frame(name) if where is None else self.frame(name).where(where)
         return df if limit is None else df.limit(limit)
 
     def pull_count(self, name: str, where: Column | None = None) -> int:
@@ -116,7 +197,7 @@ class StreamContext:
         f = Frame.of(period)
         if f.unit == "s":
             raise ModelError("periods are minutes or longer")
-        df = self.frames[f"{base}_{f}_live"]
+        df = self.frame(f"{base}_{f}_live")
         for k, v in keys.items():
             df = df.where(F.col(k) == F.lit(v))
         if bucket is not None:
