@@ -91,6 +91,31 @@ def call(name: str, *args) -> Column:
     return f.build(*args)
 
 
+def used(c: Column) -> list[str]:
+    """Spark's names of the functions in a column; operators come by their sign or name."""
+    out, todo = [], [c._jc.node()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "UnresolvedFunction":
+            out.append(node.functionName().lower())
+        inner = node.children()
+        todo += [inner.apply(k) for k in range(inner.size())]
+    return out
+
+
+#: Operators that Spark names by a word.
+_OPERATORS = frozenset(["and", "or", "not", "negative", "isnull", "isnotnull", "when", "coalesce", "in"])
+
+
+def spark_names(what: str) -> frozenset[str]:
+    """Spark's names of the functions allowed in "group" or "order", with what such functions are made of."""
+    found = set(_OPERATORS)
+    for f in set(_REGISTRY.values()):
+        if getattr(f, what):
+            found.update(used(f.build(*[F.col("x")] * f.most)))
+    return frozenset(found)
+
+
 for _n in ("ToUpper", "Upper"):
     register(_n, F.upper, 1, group=True, order=True)
 for _n in ("ToLower", "Lower"):

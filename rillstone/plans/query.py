@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillstone.functions import registry
 from rillstone.model import STREAM, TABLE, Entity, ModelError, check_shape
 from rillstone.operators import aggregates as A
 from rillstone.operators import bars, joins
@@ -17,10 +18,19 @@ from rillstone.operators.windows import Frame, frames, hopping, validate_frames
 MOST_KEYS, MOST_ORDER, MOST_SOURCES = 10, 5, 2
 
 
+#: Aggregate functions, which have no place in conditions on rows or in keys.
+AGGREGATES = frozenset("any_value array_agg avg collect_list collect_set count first last max max_by mean min min_by stddev sum sum_distinct variance".split())
+
+
 def _literal(c: Column) -> bool:
     return c._jc.node().getClass().getSimpleName() == "Literal"
 
 
+def _no_aggregate(what: str, *found: Any) -> None:
+    if any(isinstance(c, A.Agg) or isinstance(c, Column) and AGGREGATES.intersection(registry.used(c)) for c in found):
+        raise ModelError(f"no aggregate in {what}")
+
+
 @dataclass(frozen=True)
 class Query:
     """Built by from_() and the clause methods; each returns a new query. Repeated where() and having() are ANDed."""
@@ -55,6 +65,7 @@ class Query:
             raise ModelError("where() comes before select()")
         if self.keys:
             return self.having(condition)
+        _no_aggregate("where(): filter groups after group_by()", condition)
         return replace(self, wheres=(*self.wheres, condition))
 
     def join(self, other: Entity | DataFrame, on: list[tuple[str, str]], how: str = "inner") -> Query:
@@ -74,6 +85,7 @@ class Query:
     def group_by(self, *keys: str | Column) -> Query:
         if self.projection:
             raise ModelError("group_by() comes before select()")
+        _no_aggregate("group_by()", *keys)
         if not keys or any(not isinstance(k, (str, Column)) for k in keys):
             raise ModelError("group_by() takes columns, not constants")
         if any(isinstance(k, Column) and _literal(k) for k in keys):
@@ -138,7 +150,8 @@ class Query:
         return t
 
     def validate(self, strict: bool = False) -> None:
-        """Rules that don't need data. strict adds the narrower limits: two sources, ten keys, five order columns."""
+        """Rules that don't need data. strict adds the narrower limits: two sources, ten keys, five order columns, and in
+        keys and order only functions that are registered for them."""
         plain = [n for n, v in self.projection if not isinstance(v, A.Agg) and n != "*"]
         if (self.windows or self.hop) and not self.keys:
             raise ModelError("a windowed query needs group_by()")
@@ -161,6 +174,10 @@ class Query:
                 raise ModelError(f"at most {MOST_SOURCES} sources")
             if len(self.keys) > MOST_KEYS or len(self.order) > MOST_ORDER:
                 raise ModelError(f"at most {MOST_KEYS} keys and {MOST_ORDER} order columns")
+            for what, columns in (("group", self.keys), ("order", self.order)):
+                used = {f for c in columns if isinstance(c, Column) for f in registry.used(c) if f.isidentifier()}
+                if odd := used - registry.spark_names(what):
+                    raise ModelError(f"functions not allowed in {what}_by(): {sorted(odd)}")
 
     def _bounded(self, other, how: str) -> bool:
         """Whether a join with `other` is bounded in time: an inner one of two streams with event times."""
@@ -260,6 +277,8 @@ class Query:
             check_shape(df.schema, target)
         if self.partition:
             df = df.repartition(*self.partition)
+        if df.isStreaming and (self.order or self.skip):
+            raise ModelError("a stream has no order: read what it keeps, and order that")
         if self.order:
             df = df.orderBy(*self.order)
         if self.skip:

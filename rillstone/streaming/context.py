@@ -74,10 +74,10 @@ class EntitySet:
 
 
 class StreamContext:
-    """Owns entities, their DataFrames and defined queries."""
+    """Owns entities, their DataFrames and defined queries; strict ones keep to the narrower limits of validate()."""
 
-    def __init__(self, spark: SparkSession, dead_letters: str = "dead_letters"):
-        self.spark, self.dead_letters = spark, dead_letters
+    def __init__(self, spark: SparkSession, dead_letters: str = "dead_letters", strict: bool = False):
+        self.spark, self.dead_letters, self.strict = spark, dead_letters, strict
         self.entities: dict[str, Entity] = {}
         self.frames: dict[str, DataFrame] = {}
         self.queries: dict[str, Query] = {}
@@ -98,6 +98,7 @@ class StreamContext:
         stream the running query is returned, and its start is tried as often as `retry` says."""
         if (query.kind() == TABLE) != (entity.kind == TABLE):
             raise ModelError(f"{entity.name} is a {entity.kind}, the query gives a {query.kind()}")
+        query.validate(self.strict)
         df = query.to_df({n: self.frame(n) for n in self.entities}, entity)
         if entity.name not in self.stores:
             self.store(entity, path)
@@ -158,11 +159,13 @@ class StreamContext:
 
     def define(self, entity: Entity, query: Query) -> EntitySet:
         """Attaches a query to an entity: its rows are the query's, checked against the entity's columns."""
+        query.validate(self.strict)
         self.queries[entity.name] = query
         return self.register(entity, query.to_df(self.frames, entity))
 
     def define_bars(self, base: str, query: Query) -> dict[str, DataFrame]:
         """One view for each timeframe, by the names of the cascade, and one of the latest bars."""
+        query.validate(self.strict)
         bars = query.to_frames(self.frames)
         called = names(base, list(query.windows))
         for f, df in bars.items():

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from rillstone.functions.registry import call
 from rillstone.model import STREAM, TABLE, Entity, ModelError
 from rillstone.operators import aggregates as A
 from rillstone.operators import bars, joins
@@ -103,6 +104,11 @@ def test_duplicates_in_a_stream_are_dropped(spark, tmp_path):
         lambda: Query.from_(TICK).join(TICK, [("k", "k")]).join(TICK, [("k", "k")]).validate(strict=True),
         lambda: Query.from_(TICK).join(TICK, [("k", "k")], "left").group_by("k").hopping("ts", "5m", "1m").validate(),
         lambda: Query.from_(TICK).tumbling().validate(),
+        lambda: Query.from_(TICK).where(F.sum("v") > 1),
+        lambda: Query.from_(TICK).where(F.col("k").isNull() | (F.max("v") > 1)),
+        lambda: Query.from_(TICK).group_by(F.count("v")),
+        lambda: Query.from_(TICK).group_by(call("Trim", F.col("k"))).validate(strict=True),
+        lambda: Query.from_(TICK).order_by(call("Hour", F.col("ts"))).validate(strict=True),
     ],
 )
 def test_rules(spark, make):
@@ -110,6 +116,24 @@ def test_rules(spark, make):
         make()
 
 
+def test_strict_allows_registered_functions(spark):
+    keys = (call("Upper", F.col("k")).alias("u"), call("Year", F.col("ts")), F.col("v") + 1, F.coalesce("k", F.lit("?")))
+    Query.from_(TICK).group_by(*keys).order_by(call("Abs", F.col("v")).desc(), call("Year", F.col("ts"))).validate(strict=True)
+    Query.from_(TICK).group_by(call("Trim", F.col("k"))).validate()
+    strict = StreamContext(spark, strict=True)
+    strict.register(TICK, spark.createDataFrame([], "k string, ts timestamp, v double, id long"))
+    with pytest.raises(ModelError):
+        strict.define(Entity("x", {"k": "string"}, ("k",)), Query.from_(TICK).order_by(call("Trim", F.col("k"))).select(k="k"))
+
+
+def test_a_stream_has_no_order(spark, tmp_path):
+    spark.createDataFrame([("a", at(0), 1.0, 1)], "k string, ts timestamp, v double, id long").write.parquet(f"{tmp_path}/in")
+    stream = {"tick": io.read_stream(spark, TICK, f"{tmp_path}/in")}
+    with pytest.raises(ModelError):
+        Query.from_(TICK).order_by("v").to_df(stream)
+    assert Query.from_(TICK).order_by("v").to_df({"tick": spark.read.parquet(f"{tmp_path}/in")}).count() == 1
+
+
 def test_where_after_group_by_filters_groups(spark):
     e = spark.read.parquet(EVENTS)
     q = Query.from_(e).group_by("event_type").where(F.col("n") > 100).select(event_type="event_type", n=A.count())
