@@ -142,10 +142,11 @@ def fn_date(spark, d):
 round(list_max(embedding), 5) AS mx, round(list_min(embedding), 5) AS mn, round(list_sort(embedding)[1], 5) AS so, label FROM embeddings""")
 def fn_array(spark, d):
     e = F.col("embedding")
-    s = F.transform(call("ArraySlice", e, 2, 4), lambda x: F.round(x * 1000).cast("int").cast("string"))
+    # in single precision, as in SQL: Spark would widen a float times an integer to double
+    s = F.transform(call("ArraySlice", e, 2, 4), lambda x: F.round(x * F.lit(1000).cast("float")).cast("int").cast("string"))
     return _t(spark, d, "embeddings").select(
-        "vec_id", call("ArrayLength", e).alias("n"), call("ArrayContains", e, e[2]).alias("has"), call("ArrayJoin", s, ",").alias("s"), call("ArrayLength", call("ArrayDistinct", e)).alias("ds"),
-        F.round(call("ArrayMax", e), 5).alias("mx"), F.round(call("ArrayMin", e), 5).alias("mn"), F.round(call("ArraySort", e)[0], 5).alias("so"), "label",
+        "vec_id", call("ArrayLength", e).alias("n"), call("ArrayContains", e, F.get(e, 2)).alias("has"), call("ArrayJoin", s, ",").alias("s"), call("ArrayLength", call("ArrayDistinct", F.array_compact(e))).alias("ds"),
+        F.round(call("ArrayMax", e), 5).alias("mx"), F.round(call("ArrayMin", e), 5).alias("mn"), F.round(F.get(call("ArraySort", e), 0), 5).alias("so"), "label",
     )
 
 
