@@ -228,3 +228,47 @@ def test_dropped_lines_stand_elsewhere(spark):
     left = line_dedup.drop_lines(docs, share=line_dedup.SHARE)
     lines = sorted(x for r in left.collect() for x in r["text"].split("\n") if x.strip())
     assert lines == sorted(["abc", "unique q", "r", "xyz", "w"])
+
+
+def _edited(rng, size):
+    """A line, and one with as many edits as its length allows, as far apart from each other as they go, or nearly."""
+    a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(size))
+    b, n = list(a), size // 20
+    for k in range(n, 0, -1):
+        at = min(size - 1, max(0, k * size // (n + 1) + rng.randrange(-1, 2)))
+        b[at : at + 1] = rng.choice(["#", "", b[at] + "#"])
+    return a, "".join(b)
+
+
+def test_chosen_grams_of_linked_lines_always_meet():
+    rng = random.Random(12)
+    pairs = [_edited(rng, size) for size in (60, 61, 79, 80, 99, 100, 119, 140, 199, 200, 399, 400, 1200, 3000) for _ in range(60)]
+    # copies of one run of characters, whose grams are all equal
+    pairs += [("ab" * 50, "ab" * 30 + "c" + "ab" * 19 + "x"), ("a" * 60, "a" * 57)]
+    lines = [x for pair in pairs for x in pair]
+    row, keys = line_dedup.sketch_keys(lines, 0.05)
+    own = [set(part.tolist()) for part in np.split(keys[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=len(lines)))[:-1])]
+    for k, (a, b) in enumerate(pairs):
+        assert common.banded_distance(a, b, 200) <= max(len(a), len(b)) // 20 and own[2 * k] & own[2 * k + 1], (k, len(a))
+
+
+def test_no_link_of_lines_is_lost(spark, monkeypatch):
+    """Edits far apart, groups of near copies, and keys that so many lines have that they meet in their own task."""
+    rng = random.Random(13)
+    lines = [x for size in (59, 60, 80, 100, 140, 200, 300) for _ in range(12) for x in _edited(rng, size)]
+    stem, head = _edited(rng, 120)[0], "".join(rng.choice("abcdefghij") for _ in range(60))
+    for _ in range(40):
+        at = rng.randrange(110)
+        lines.append(stem[:at] + "".join(rng.choice("uvwxyz") for _ in range(3)) + stem[at + 3 :])
+        lines.append(head + "".join(rng.choice("klmnopqrst") for _ in range(60)))
+    want = {x: 0 for x in lines}
+    for x in want:
+        for y in want:
+            most = max(len(x), len(y)) // 20
+            want[x] += x != y and abs(len(x) - len(y)) <= most and common.banded_distance(x, y, most) <= most
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3).cache()
+    assert len(want) == len(lines) and sum(want.values()) > 700
+    for hot in (line_dedup.HOT, 3):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = {r["doc_id"]: r["n_links"] for r in line_dedup.line_classes(rows, share=line_dedup.SHARE).collect()}
+        assert [got[i] for i in range(len(lines))] == [want[x] for x in lines]
