@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import chunks, prepare
+from .common import chunks, lighten, prepare
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -140,6 +140,7 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
 
     def run(batches):
+        lighten(__name__)
         for batch, texts in chunks(batches):
             names, score = held.value.score(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "lang_score"])

@@ -272,3 +272,9 @@ def test_no_link_of_lines_is_lost(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "HOT", hot)
         got = {r["doc_id"]: r["n_links"] for r in line_dedup.line_classes(rows, share=line_dedup.SHARE).collect()}
         assert [got[i] for i in range(len(lines))] == [want[x] for x in lines]
+
+
+def test_workers_drop_other_operators_caches():
+    assert queries.packing.encoder(queries.TOKENIZER) and language_id.letters()
+    common.lighten(language_id.__name__)
+    assert not queries.packing.encoder.cache_info().currsize and language_id.letters.cache_info().currsize
