@@ -278,3 +278,33 @@ def test_workers_drop_other_operators_caches():
     assert queries.packing.encoder(queries.TOKENIZER) and language_id.letters()
     common.lighten(language_id.__name__)
     assert not queries.packing.encoder.cache_info().currsize and language_id.letters.cache_info().currsize
+
+
+def test_lines_that_meet_by_chance_hardly_meet():
+    """Of lines made of a few syllables, rare grams are chosen, and a gram brings lines together that is firm in one."""
+    rng = random.Random(14)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it"]
+    lines = ["".join(rng.choice(syllables[: rng.randrange(4, 21)]) + rng.choice(["", "", " "]) for _ in range(130)) for _ in range(3000)]
+    points, sizes = common.code_points(lines)
+    stretches, starts = common.Stretches(points), np.cumsum(sizes) - sizes
+    count = np.zeros(1 << line_dedup.LEVEL_BITS, np.int64)
+    np.add.at(count, (stretches.all(line_dedup.gram_size(0.05)) >> np.uint64(64 - line_dedup.LEVEL_BITS)).view(np.int64), 1)
+    levels = np.minimum(np.ceil(np.log2(count + 1)), 15).astype(np.uint8)
+    met = []
+    for order in (None, levels):
+        row, key, code = line_dedup._sketch_keys(stretches, starts, sizes, np.ones(len(lines), bool), 0.05, 2, order)
+        met.append(len(line_dedup._parts(key >> np.uint64(16), row.astype(np.uint64), code if order is not None else code | np.uint16(1), 0.05)[0]))
+    assert met[1] < 0.6 * met[0], met
+
+
+def test_linked_lines_meet_by_a_firm_gram_whatever_the_levels():
+    rng = random.Random(15)
+    pairs = [_edited(rng, size) for size in (60, 79, 100, 141, 143, 200, 356, 400, 1200) for _ in range(40)]
+    pairs += [("ab" * 50, "ab" * 30 + "c" + "ab" * 19 + "x"), ("a" * 60, "a" * 57)]
+    points, sizes = common.code_points([x for pair in pairs for x in pair])
+    for seed in range(2):
+        levels = np.random.default_rng(seed).integers(0, 16 if seed else 1, 1 << line_dedup.LEVEL_BITS).astype(np.uint8)
+        row, key, code = line_dedup._sketch_keys(common.Stretches(points), np.cumsum(sizes) - sizes, sizes, np.ones(len(sizes), bool), 0.05, 2, levels)
+        group, short = line_dedup._parts(key >> np.uint64(16), row.astype(np.uint64), code, 0.05)
+        together = {(int(a) // 2) for g in np.split(short, np.flatnonzero(np.diff(group)) + 1) for a in g if int(a) % 2 == 0 and int(a) + 1 in g}
+        assert together == set(range(len(pairs)))
