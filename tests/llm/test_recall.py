@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from rillstone.llm import chat, common, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, queries
+from rillstone.llm import chat, common, compiled, decontamination, embedding_dedup, language_id, line_dedup, near_dedup, queries
 
 
 def test_embeddings_of_a_large_near_group(spark):
@@ -308,3 +308,59 @@ def test_linked_lines_meet_by_a_firm_gram_whatever_the_levels():
         group, short = line_dedup._parts(key >> np.uint64(16), row.astype(np.uint64), code, 0.05)
         together = {(int(a) // 2) for g in np.split(short, np.flatnonzero(np.diff(group)) + 1) for a in g if int(a) % 2 == 0 and int(a) + 1 in g}
         assert together == set(range(len(pairs)))
+
+
+def test_java_loops_judge_pairs_as_python_does(spark):
+    rng = random.Random(16)
+    linked = compiled._classes(spark).loadClass("rillstone.Loops")
+    loops = spark._jvm.java.lang.reflect.Array  # static methods are called by reflection, as the class isn't on the driver's class path
+    strings = [linked.getMethods()[i] for i in range(loops.getLength(linked.getMethods())) if linked.getMethods()[i].getName() == "linked"][0]
+    seen = set()
+    for _ in range(400):
+        letters = rng.choice(["ab", "abcdé", "abcdefgh \U0001f600ü漢"])
+        a = [rng.choice(letters) for _ in range(rng.randrange(60))]
+        b = list(a)
+        for _ in range(rng.randrange(9)):
+            if b:
+                k = rng.randrange(len(b))
+                b[k : k + 1] = rng.choice([[], [rng.choice(letters)], [b[k], rng.choice(letters)]])
+        most = rng.randrange(8)
+        given = spark.sparkContext._gateway.new_array(spark._jvm.Object, 3)
+        given[0], given[1], given[2] = "".join(a), "".join(b), most
+        want = common.banded_distance("".join(a), "".join(b), most) <= most
+        assert strings.invoke(None, given) == want, (a, b, most)
+        seen.add(want)
+    assert seen == {True, False}
+
+
+def test_java_loops_choose_grams_that_edits_leave(spark):
+    """The grams of each line that the JVM chooses are those of the least ranks, hashed as numpy hashes them; edits can't
+    reach all of them, and they are fewer than numpy's choice."""
+    rng = random.Random(17)
+    lines = [x for size in (60, 100, 142, 143, 151, 200, 400, 3000) for x in _edited(rng, size)] + ["é\U0001f600" * 60 + "漢z" * 30, "ab" * 50]
+    share, low, middle = 0.05, *line_dedup._classes_of(0.05, 2)
+    levels = np.random.default_rng(1).integers(0, 4, 1 << line_dedup.LEVEL_BITS).astype(np.uint8)
+    row = compiled.first(spark.createDataFrame([(bytearray(levels.tobytes()),)], "levels binary"))
+    udf = compiled.made(spark, "Chosen", spark.sparkContext._jsc.broadcast(row), line_dedup.LEVEL_BITS, share, low, middle, 10, 12)
+    df = spark.createDataFrame([("\n".join(lines),), (None,)], "text string")
+    got = compiled.called(df, udf, "text", "grams").collect()
+    assert sorted(len(r["grams"]) for r in got)[0] == 0
+    found = np.frombuffer(max((bytes(r["grams"]) for r in got), key=len), np.dtype([("hash", "<u8"), ("line", "<u4"), ("place", "<u4")]))
+    points, sizes = common.code_points(lines)
+    stretches, starts = common.Stretches(points), np.cumsum(sizes) - sizes
+    ours = len(line_dedup._sketch_keys(stretches, starts, sizes, np.ones(len(sizes), bool), share, 2, levels)[0])
+    assert 0 < len(found) < ours
+    for k, size in enumerate(sizes.tolist()):
+        for larger, gram in ((0, 10), (1, 12)):
+            own = found[found["line"] == (k << 1 | larger)]
+            assert (len(own) > 0) == (size >= middle if larger else size - size // 20 < middle)
+            if not len(own):
+                continue
+            place = (own["place"] >> 1).astype(np.int64)
+            every = stretches.all(gram)[starts[k] : starts[k] + size - gram + 1]
+            assert (every[place] == own["hash"]).all()
+            rank = levels[every >> np.uint64(64 - line_dedup.LEVEL_BITS)].astype(np.uint64) << np.uint64(36) | every >> np.uint64(28)
+            assert set(np.flatnonzero(rank <= rank[place].max()).tolist()) == set(place.tolist())
+            firm = place[own["place"] & 1 == 1]
+            need = int(line_dedup.most_with(size, share)) + 1
+            assert (np.diff(firm) >= gram).all() and (len(firm) == need or len(place) == len(every))
